@@ -10,7 +10,8 @@ bands of ``ROWS`` universal-hash minima give the buckets. Links are found in pas
   pair across components, in blocks: members outside the bucket's largest component go to
   all blocks of it.
 
-A pair inside one component cannot change the result and is not compared. Candidates pass the
+A pair inside one component cannot change the result and is not compared, nor is a pair whose
+shingles that no other member of these buckets has already rule the threshold out. Candidates pass the
 signature check (which keeps pairs up to ``SLACK`` standard deviations below the threshold) and
 are confirmed on the full sets. There is no cap on buckets, partners or candidates.
 """
@@ -149,17 +150,36 @@ def _confirm(words: int, threshold: tuple[int, int]):
     return run
 
 
-def _across(floor: float):
-    """Grouped function: likely pairs of a block's members (home) and the bucket's outsiders."""
+def _elements(words: int):
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in column(batch, "text").to_pylist()]
+            rows = np.repeat(np.arange(len(sets)), [*map(len, sets)])
+            prints = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+            elements = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([column(batch, "cid").take(pa.array(rows)), prints.take(pa.array(rows)), pa.array(elements)], ["cid", "print", "element"])
+
+    return run
+
+
+def _across(floor: float, threshold: tuple[int, int]):
+    """Grouped function: likely pairs of a block's members (home) and the bucket's outsiders.
+
+    ``common`` is the number of a set's shingles that other members have, so no pair shares more
+    than the smaller one.
+    """
+    top, bottom = threshold
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         guests, homes = rows[rows["guest"]], rows[~rows["guest"]]
         out = [np.zeros((0, 2), np.int64)]
         if len(guests) and len(homes):
             home = np.frombuffer(b"".join(homes["signature"]), "<u2").reshape(len(homes), -1)
-            comp, ids = homes["comp"].to_numpy(), homes["cid"].to_numpy()
-            for cid, c, signature in zip(guests["cid"], guests["comp"], guests["signature"], strict=True):
-                hit = np.flatnonzero(((home == np.frombuffer(signature, "<u2")).mean(axis=1) >= floor) & (comp != c))
+            comp, ids, n, common = (homes[c].to_numpy() for c in ("comp", "cid", "n_shingles", "common"))
+            for cid, c, signature, m, shared in zip(*(guests[c] for c in ("cid", "comp", "signature", "n_shingles", "common")), strict=True):
+                most = np.minimum(common, shared)
+                possible = np.flatnonzero((comp != c) & (bottom * most >= top * (n + m - most)))
+                hit = possible[(home[possible] == np.frombuffer(signature, "<u2")).mean(axis=1) >= floor]
                 out.append(np.stack([np.minimum(ids[hit], cid), np.maximum(ids[hit], cid)], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
@@ -186,7 +206,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     members = known.select("_id", "print").join(classes, "print").select("_id", "cid").distinct()
     members = materialise(members, "members")
     leaders = known.join(classes.select(F.col("print").alias("p"), "cid"), (F.col("print") == F.col("p")) & (F.col("_id") == F.col("cid")), "left_semi")
-    leaders = leaders.dropDuplicates(["_id", "print"]).select(F.col("_id").alias("cid"), "signature", "bands")
+    leaders = leaders.dropDuplicates(["_id", "print"]).select(F.col("_id").alias("cid"), "print", "n_shingles", "signature", "bands")
     leaders = materialise(leaders, "leaders")
     buckets = materialise(leaders.select("cid", "bands").mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -206,7 +226,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
         found = check(pairs)
         links = links.unionByName(found)
         components = materialise(connected_components(links), "components")
-    pairs = materialise(_cross_pairs(buckets, components, leaders, _floor(threshold)).join(tested, ["a", "b"], "left_anti"), "candidates")
+    pairs = check.across(_mixed(buckets, components)).join(tested, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "candidates")
     found = check.confirm(pairs)
     links = found.unionByName(components.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     components = connected_components(links)
@@ -236,12 +257,38 @@ class _Checker:
         likely = self._with(pairs, self.leaders, "signature").mapInArrow(_likely(_floor(self.threshold)), "a bigint, b bigint")
         return self.confirm(materialise(likely.distinct(), "likely"))
 
+    def _texts(self, ids: DataFrame) -> DataFrame:
+        return self.rows.select(F.col("_id").alias("cid"), F.col("_text").alias("text")).join(ids, "cid", "left_semi")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        texts = self.rows.select(F.col("_id").alias("cid"), F.col("_text").alias("text")).join(wanted, "cid", "left_semi")
+        texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         confirmed = self._with(pairs, texts, "text").mapInArrow(_confirm(self.words, self.threshold), "a bigint, b bigint")
         return materialise(confirmed.distinct(), "confirmed")
 
+    def across(self, rows: DataFrame) -> DataFrame:
+        """(a, b), a < b: likely pairs across components of every bucket in ``rows``."""
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
+        major = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("comp").alias("major"))).alias("m")).select("key", "m.major")
+
+        # Shingles that one set alone has, among the sets of all members of these buckets.
+        members = rows.select("cid").distinct()
+        elements = self._texts(members).mapInArrow(_elements(self.words), "cid bigint, print binary, element bigint")
+        alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cid", "print")).alias("of")).where("n = 1")
+        alone = alone.groupBy("of").agg(F.count(F.lit(1)).alias("alone")).select(F.col("of.cid").alias("cid"), F.col("of.print").alias("print"), "alone")
+        sets = self.leaders.join(members, "cid", "left_semi").join(alone, ["cid", "print"], "left")
+        sets = sets.select("cid", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"), "signature")
+        # A set that shares too little with all others together links with none of them.
+        top, bottom = self.threshold
+        sets = materialise(sets.where(F.col("common") * bottom >= F.col("n_shingles") * top), "sets")
+
+        rows = rows.join(major, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        rows = rows.join(sets, "cid")
+        values = ["cid", "comp", "n_shingles", "common", "signature"]
+        home = rows.select("key", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), *values, F.lit(False).alias("guest"))
+        guest = rows.where("comp != major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *values, F.lit(True).alias("guest"))
+        across = _across(_floor(self.threshold), self.threshold)
+        return home.unionByName(guest).groupBy("key", "block").applyInPandas(across, "a bigint, b bigint").distinct()
+
 
 def _star_pairs(buckets: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
     """(a, b), a < b: each member of a bucket with the bucket's pivot, unless already joined."""
@@ -265,15 +312,3 @@ def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
     rows = materialise(rows, "joined")
     mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 AND lo != hi")
     return materialise(rows.join(mixed.select("key", "n"), "key"), "mixed")
-
-
-def _cross_pairs(buckets: DataFrame, components: DataFrame, leaders: DataFrame, floor: float) -> DataFrame:
-    """(a, b), a < b: likely pairs across components of every bucket."""
-    rows = _mixed(buckets, components)
-    sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("comp").alias("major"))).alias("m")).select("key", "m.major")
-    rows = rows.join(major, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    home = rows.select("key", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), "cid", "comp", F.lit(False).alias("guest"))
-    guest = rows.where("comp != major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cid", "comp", F.lit(True).alias("guest"))
-    both = home.unionByName(guest).join(leaders.select("cid", "signature"), "cid")
-    return both.groupBy("key", "block").applyInPandas(_across(floor), "a bigint, b bigint").distinct()
