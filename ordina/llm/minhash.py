@@ -8,12 +8,14 @@ bands of ``ROWS`` universal-hash minima give the buckets. Links are found in pas
   then one drawn by hash) and join what they confirm to components;
 * the last pass compares, in buckets whose members are still in several components, every
   pair across components, in blocks: members outside the bucket's largest component go to
-  all blocks of it.
-
-A pair inside one component cannot change the result and is not compared, nor is a pair whose
-shingles that no other member of these buckets has already rule the threshold out. Candidates pass the
-signature check (which keeps pairs up to ``SLACK`` standard deviations below the threshold) and
-are confirmed on the full sets. There is no cap on buckets, partners or candidates.
+  all blocks of it. There a set is written as its difference from the set of that component's
+  smallest document: which of its shingles are missing, and which others it has (without those
+  that no other member has, which no pair can share). Sizes of intersections follow exactly
+  from the differences, so only links leave a block.
+
+A pair inside one component cannot change the result and is not compared. Star candidates pass
+the signature check (which keeps pairs up to ``SLACK`` standard deviations below the threshold)
+and are confirmed on the full sets. There is no cap on buckets, partners or candidates.
 """
 
 from __future__ import annotations
@@ -150,37 +152,57 @@ def _confirm(words: int, threshold: tuple[int, int]):
     return run
 
 
-def _elements(words: int):
+def _sets(words: int):
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(text, words) for text in column(batch, "text").to_pylist()]
-            rows = np.repeat(np.arange(len(sets)), [*map(len, sets)])
-            prints = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
-            elements = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([column(batch, "cid").take(pa.array(rows)), prints.take(pa.array(rows)), pa.array(elements)], ["cid", "print", "element"])
+            sets = [shingle_set(text, words).tobytes() for text in column(batch, "text").to_pylist()]
+            prints = [xxhash.xxh128_digest(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([column(batch, "cid"), pa.array(prints, pa.binary()), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], ["cid", "print", "n_shingles", "shingles"])
 
     return run
 
 
-def _across(floor: float, threshold: tuple[int, int]):
-    """Grouped function: likely pairs of a block's members (home) and the bucket's outsiders.
+def _elements(batches):
+    for batch in batches:
+        sets = column(batch, "shingles").to_pylist()
+        rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) // 8 for s in sets]))
+        yield pa.RecordBatch.from_arrays([column(batch, "cid").take(rows), column(batch, "print").take(rows), pa.array(np.frombuffer(b"".join(sets), np.int64))], ["cid", "print", "element"])
+
 
-    ``common`` is the number of a set's shingles that other members have, so no pair shares more
-    than the smaller one.
-    """
+def _differences(batches):
+    """Sets as missing shingles of the reference set (bits) and others that some other set has."""
+    for batch in batches:
+        missing, extra = [], []
+        for own, reference, alone in zip(*(column(batch, n).to_pylist() for n in ("shingles", "reference", "alone")), strict=True):
+            s, t = np.frombuffer(own, np.uint64), np.frombuffer(reference, np.uint64)
+            missing.append(np.packbits(~np.isin(t, s, assume_unique=True)).tobytes())
+            others = np.setdiff1d(s, t, assume_unique=True)
+            extra.append(np.setdiff1d(others, np.array(alone or [], np.int64).view(np.uint64)).tobytes())
+        yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("cid", "major", "n_shingles")), pa.array(missing, pa.binary()), pa.array(extra, pa.binary())], ["cid", "major", "n_shingles", "missing", "extra"])
+
+
+def _across(threshold: tuple[int, int]):
+    """Grouped function: links between a block's members (home) and the bucket's outsiders."""
     top, bottom = threshold
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         guests, homes = rows[rows["guest"]], rows[~rows["guest"]]
         out = [np.zeros((0, 2), np.int64)]
         if len(guests) and len(homes):
-            home = np.frombuffer(b"".join(homes["signature"]), "<u2").reshape(len(homes), -1)
-            comp, ids, n, common = (homes[c].to_numpy() for c in ("comp", "cid", "n_shingles", "common"))
-            for cid, c, signature, m, shared in zip(*(guests[c] for c in ("cid", "comp", "signature", "n_shingles", "common")), strict=True):
-                most = np.minimum(common, shared)
-                possible = np.flatnonzero((comp != c) & (bottom * most >= top * (n + m - most)))
-                hit = possible[(home[possible] == np.frombuffer(signature, "<u2")).mean(axis=1) >= floor]
-                out.append(np.stack([np.minimum(ids[hit], cid), np.maximum(ids[hit], cid)], axis=1))
+            comp, ids, n = (homes[c].to_numpy() for c in ("comp", "cid", "n_shingles"))
+            bits = np.unpackbits(np.frombuffer(b"".join(homes["missing"]), np.uint8).reshape(len(homes), -1), axis=1).astype(np.float32)
+            extras = [np.frombuffer(e, np.uint64) for e in homes["extra"]]
+            size = np.array([*map(len, extras)])
+            lost = bits.sum(axis=1)
+            for cid, c, m, missing, extra, t in zip(*(guests[x] for x in ("cid", "comp", "n_shingles", "missing", "extra", "n_reference")), strict=True):
+                own = np.unpackbits(np.frombuffer(missing, np.uint8)).astype(np.float32)
+                mine = np.frombuffer(extra, np.uint64)
+                inside = t - (lost + own.sum() - bits @ own).astype(np.int64)
+                most = inside + np.minimum(size, len(mine))
+                for i in np.flatnonzero((comp != c) & (bottom * most >= top * (n + m - most))):
+                    shared = inside[i] + len(np.intersect1d(extras[i], mine, assume_unique=True))
+                    if bottom * shared >= top * (n[i] + m - shared):
+                        out.append(np.array([[min(ids[i], cid), max(ids[i], cid)]], np.int64))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return run
@@ -214,21 +236,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
 
     # Members of a class that carry another id than their class are linked by their equal sets.
     links = members.where("_id != cid").select(F.col("_id").alias("a"), F.col("cid").alias("b"))
-    tested = None
     check = _Checker(rows, leaders, shingle_words, threshold)
     components = None
     for turn in range(STAR_PASSES):
-        pairs = _star_pairs(buckets, components, turn)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidates")
-        tested = pairs if tested is None else materialise(tested.unionByName(pairs), "tested")
-        found = check(pairs)
+        found = check(materialise(_star_pairs(buckets, components, turn), "candidates"))
         links = links.unionByName(found)
         components = materialise(connected_components(links), "components")
-    pairs = check.across(_mixed(buckets, components)).join(tested, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "candidates")
-    found = check.confirm(pairs)
+    found = check.across(_mixed(buckets, components))
     links = found.unionByName(components.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
     components = connected_components(links)
 
@@ -266,28 +280,35 @@ class _Checker:
         return materialise(confirmed.distinct(), "confirmed")
 
     def across(self, rows: DataFrame) -> DataFrame:
-        """(a, b), a < b: likely pairs across components of every bucket in ``rows``."""
+        """(a, b), a < b: links across components of every bucket in ``rows``."""
         sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
         major = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("comp").alias("major"))).alias("m")).select("key", "m.major")
+        rows = materialise(rows.join(major, "key"), "cross")
 
+        members, references = rows.select("cid").distinct(), rows.select(F.col("major").alias("cid")).distinct()
+        texts = self._texts(members.unionByName(references).distinct())
+        sets = materialise(texts.mapInArrow(_sets(self.words), "cid bigint, print binary, n_shingles bigint, shingles binary").dropDuplicates(["cid", "print"]), "sets")
         # Shingles that one set alone has, among the sets of all members of these buckets.
-        members = rows.select("cid").distinct()
-        elements = self._texts(members).mapInArrow(_elements(self.words), "cid bigint, print binary, element bigint")
+        elements = sets.select("cid", "print", "shingles").mapInArrow(_elements, "cid bigint, print binary, element bigint")
         alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cid", "print")).alias("of")).where("n = 1")
-        alone = alone.groupBy("of").agg(F.count(F.lit(1)).alias("alone")).select(F.col("of.cid").alias("cid"), F.col("of.print").alias("print"), "alone")
-        sets = self.leaders.join(members, "cid", "left_semi").join(alone, ["cid", "print"], "left")
-        sets = sets.select("cid", "n_shingles", (F.col("n_shingles") - F.coalesce("alone", F.lit(0))).alias("common"), "signature")
+        alone = alone.groupBy("of").agg(F.collect_list("element").alias("alone")).select(F.col("of.cid").alias("cid"), F.col("of.print").alias("print"), "alone")
         # A set that shares too little with all others together links with none of them.
         top, bottom = self.threshold
-        sets = materialise(sets.where(F.col("common") * bottom >= F.col("n_shingles") * top), "sets")
-
-        rows = rows.join(major, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-        rows = rows.join(sets, "cid")
-        values = ["cid", "comp", "n_shingles", "common", "signature"]
+        shared = F.col("n_shingles") - F.coalesce(F.size("alone"), F.lit(0))
+        able = sets.join(members, "cid", "left_semi").join(alone, ["cid", "print"], "left").where(shared * bottom >= F.col("n_shingles") * top)
+        able = able.select("cid", "n_shingles", "shingles", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
+        reference = sets.groupBy("cid").agg(F.min(F.struct("print", "shingles")).alias("s")).select(F.col("cid").alias("major"), F.col("s.shingles").alias("reference"))
+        pairs = rows.select("cid", "major").distinct().join(able, "cid").join(reference, "major")
+        written = pairs.select("cid", "major", "n_shingles", "shingles", "reference", "alone").mapInArrow(_differences, "cid bigint, major bigint, n_shingles bigint, missing binary, extra binary")
+        lengths = reference.select("major", F.expr("octet_length(reference) div 8").cast("long").alias("n_reference"))
+        written = materialise(written.join(lengths, "major"), "differences")
+
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(written, ["cid", "major"])
+        values = ["cid", "comp", "n_shingles", "n_reference", "missing", "extra"]
         home = rows.select("key", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), *values, F.lit(False).alias("guest"))
         guest = rows.where("comp != major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *values, F.lit(True).alias("guest"))
-        across = _across(_floor(self.threshold), self.threshold)
-        return home.unionByName(guest).groupBy("key", "block").applyInPandas(across, "a bigint, b bigint").distinct()
+        found = home.unionByName(guest).groupBy("key", "block").applyInPandas(_across(self.threshold), "a bigint, b bigint").distinct()
+        return materialise(found, "found")
 
 
 def _star_pairs(buckets: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
