@@ -19,7 +19,8 @@ from __future__ import annotations
 import json
 import pickle
 import re
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from .common import column, materialise, partitions, prepare, runs
 BLOCK_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 2
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _ODD = (
     r"  |\n\n| \n|\n |[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -48,8 +49,6 @@ class Vocabulary:
     """A byte-level BPE tokenizer file: encode words, and the bytes of each id."""
 
     def __init__(self, text: str):
-        from tokenizers import Tokenizer
-
         spec = json.loads(text)
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         plain = spec.get("normalizer") is None and spec.get("post_processor") is None and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
@@ -60,25 +59,40 @@ class Vocabulary:
             raise ValueError("added tokens with stripping or normalisation are not supported")
         self.special = {t["content"]: t["id"] for t in special}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.text = text
+
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(self.text)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return tokenizer
+
+    def _bytes(self, model: dict) -> dict[int, bytes]:
         visible = _visible_bytes()
-        self.pieces = {i: bytes(visible[c] for c in token) for token, i in model["vocab"].items()}
-        self.fast = self._ranked(model, pre)
-        self.pieces |= {i: content.encode() for content, i in self.special.items()}
+        return {i: bytes(visible[c] for c in token) for token, i in model["vocab"].items()}
+
+    @cached_property
+    def pieces(self) -> dict[int, bytes]:
+        """The bytes of each id, special tokens included."""
+        return self._bytes(json.loads(self.text)["model"]) | {i: content.encode() for content, i in self.special.items()}
 
-    def _ranked(self, model: dict, pre: dict):
+    @cached_property
+    def fast(self):
         """The same merges as ranks, if ids were given in the order of merges; else None."""
         import public_tokenizers
         import tiktoken
 
+        model = json.loads(self.text)["model"]
+        pieces = self._bytes(model)
         order = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         ids = [model["vocab"].get(a + b) for a, b in order]
-        singles = {i for i, piece in self.pieces.items() if len(piece) == 1}
-        if len(singles) != 256 or ids != sorted(set(ids)) or {*ids} & singles or {*ids} | singles != set(self.pieces):
+        singles = {i for i, piece in pieces.items() if len(piece) == 1}
+        if len(singles) != 256 or ids != sorted(set(ids)) or {*ids} & singles or {*ids} | singles != set(pieces):
             return None
-        ranks = {piece: i for i, piece in self.pieces.items()}
+        ranks = {piece: i for i, piece in pieces.items()}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def words(self, text: str) -> list[str]:
@@ -226,7 +240,7 @@ def _encoder(vocabulary_text):
     return run
 
 
-def _join(schema: pa.Schema):
+def _join(schema: pa.Schema, finish: Callable | None):
     """Grouped Arrow function: a block's payload and its rows of ids to ids by document."""
 
     def run(payload: pa.Table, replies: pa.Table) -> pa.Table:
@@ -250,12 +264,15 @@ def _join(schema: pa.Schema):
             column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(joined)]).cast(pa.binary())
             table = pa.ipc.open_stream(carry).read_all()
             out.append(pa.table([*table.columns, column], schema=pa.schema([*table.schema, ("ids_le", pa.binary())])))
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+        joined_table = pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+        result = finish(joined_table) if finish else joined_table
+        pa.default_memory_pool().release_unused()
+        return result
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store_blocks: bool = True) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store_blocks: bool = True, finish: Callable | None = None, finish_schema: str | None = None) -> DataFrame:
     """(id, ids_le): the ids of each whole text as little-endian unsigned 32-bit integers.
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library. The ids
@@ -266,6 +283,8 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     With ``store_blocks`` the split blocks are written once (about 0.7 of the size of Parquet
     input); without it they are split twice, for less disk and more CPU. That needs an input
     whose partitions come out the same each time, as files do; otherwise it raises an error.
+    ``finish`` turns the Arrow table of a block (id column ``_id``) into rows of ``finish_schema``
+    in the same Python worker.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -285,7 +304,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     words = words.repartition("bucket").mapInArrow(_encoder(shared), _BLOCK_DDL)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, ids_le binary"
     arrow = pa.schema([(f.name, f.type) for f in to_arrow_schema(rows.select("_id").schema)] + [("ids_le", pa.binary())])
-    joined = payload.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join(arrow), schema)
+    joined = payload.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join(arrow, finish), finish_schema or schema)
     return joined.withColumnRenamed("_id", id_col)
 
 

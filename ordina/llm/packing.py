@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import column, materialise, partitions, prepare
+from .common import column, materialise, partitions
 
 #: Rounds of multiplicative weights and their rate.
 ROUNDS, RATE = 200, 0.5
@@ -163,34 +163,34 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
     return Plan(*table.T, sequences=base)
 
 
-def _cut(capacity: int, end_id: int, id_col: str):
-    def run(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
-            tail = np.array([end_id], "<u4").tobytes()
-            for row, ids in enumerate(column(batch, "ids_le").to_pylist()):
-                body = (ids or b"") + tail
-                total = len(body) // 4
-                first = total if total <= capacity else (total % capacity or capacity)
-                edges = [0, *range(first, total + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(edges, edges[1:])):
-                    for name, value in zip(out, (row, piece, a, b - a, zlib.crc32(body[4 * a : 4 * b])), strict=True):
-                        out[name].append(value)
-            rows = pa.array(out.pop("row"), pa.int64())
-            types = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
-            yield pa.RecordBatch.from_arrays([column(batch, id_col).take(rows), *(pa.array(v, types[k]) for k, v in out.items())], [id_col, *types])
+def _cut(capacity: int, end_id: int):
+    """Arrow function: ids of documents to their pieces."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
+        tail = np.array([end_id], "<u4").tobytes()
+        for row, ids in enumerate(column(table, "ids_le").to_pylist()):
+            body = (ids or b"") + tail
+            total = len(body) // 4
+            first = total if total <= capacity else (total % capacity or capacity)
+            edges = [0, *range(first, total + 1, capacity)]
+            for piece, (a, b) in enumerate(zip(edges, edges[1:])):
+                for name, value in zip(out, (row, piece, a, b - a, zlib.crc32(body[4 * a : 4 * b])), strict=True):
+                    out[name].append(value)
+        rows = pa.array(out.pop("row"), pa.int64())
+        types = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+        return pa.table([column(table, "_id").take(rows), *(pa.array(v, types[k]) for k, v in out.items())], names=["_id", *types])
 
     return run
 
 
-def pieces_of(encoded: DataFrame, capacity: int, end_id: int, id_col: str = "doc_id") -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of documents with ``end_id`` at their end.
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, piece, start, length, ids_crc32) of documents' ids with ``end_id`` at their end.
 
     Documents longer than ``capacity`` are cut so that the first piece takes the remainder.
     """
-    prepare(encoded.sparkSession)
-    kind = encoded.schema[id_col].dataType.simpleString()
-    return encoded.select(id_col, "ids_le").mapInArrow(_cut(capacity, end_id, id_col), f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return encode(docs, tokenizer, id_col, text_col, finish=_cut(capacity, end_id), finish_schema=f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def _placer(plan: Plan):
@@ -231,4 +231,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id
     A null or empty text is one piece that holds ``end_id`` alone. Rows with equal ids are
     packed one by one. Other columns are ignored.
     """
-    return pack(pieces_of(encode(docs, tokenizer, id_col, text_col), capacity, end_id, id_col), capacity, id_col)
+    return pack(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col), capacity, id_col)
