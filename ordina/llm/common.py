@@ -15,6 +15,7 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +78,33 @@ def sweep(spark: SparkSession, still_used: DataFrame | None = None) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the filter below (4 MB), whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def rows_of(df: DataFrame, column_name: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id (a long) is in the one column of ``ids``; few others are shuffled.
+
+    A bitmap of hashed ids, of fixed size, drops most other rows before the exact semi-join. More
+    ids than bits only let more rows through to the join.
+    """
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    name = ids.columns[0]
+    marked = ids.select(slot(F.col(name)).alias("slot")).select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("mask"))
+    words = marked.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 64 rows
+    bitmap = np.zeros(FILTER_BITS // 64, "<i8")
+    bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
+    marks = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    @F.pandas_udf("boolean")
+    def is_marked(slots: pd.Series) -> pd.Series:
+        at = slots.to_numpy()
+        return pd.Series((np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1)
+
+    wanted = df.where(F.col(column_name).isNotNull()).where(is_marked(slot(F.col(column_name))))
+    return wanted.join(ids.select(F.col(name).alias(column_name)), column_name, "left_semi")
+
+
 def learnable(doc_id: str = "doc_id"):
     """Rows that models may learn from: crc32 of the id's decimal text mod 3 is not 1."""
     return ~held_out(doc_id)

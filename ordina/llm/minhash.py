@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, prepare
+from .common import column, materialise, prepare, rows_of
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
@@ -272,7 +272,7 @@ class _Checker:
         return self.confirm(materialise(likely.distinct(), "likely"))
 
     def _texts(self, ids: DataFrame) -> DataFrame:
-        return self.rows.select(F.col("_id").alias("cid"), F.col("_text").alias("text")).join(ids, "cid", "left_semi")
+        return rows_of(self.rows.select(F.col("_id").alias("cid"), F.col("_text").alias("text")), "cid", ids)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
