@@ -1,8 +1,9 @@
 """WARC archives: write, read back, and merge their indexes.
 
 A record per page is built with SQL functions and written by Spark's text writer, whose line
-separator is the two line ends that close a WARC record; files are plain WARC 1.1 that any
-store Spark can write to holds. Reading parses whole files of at most ``FILE_RECORDS`` records.
+separator is the two line ends that close a WARC record; files are WARC 1.1, each compressed by
+gzip as one member, that any store Spark can write to holds. Offsets count uncompressed bytes.
+Reading parses whole files of at most ``FILE_RECORDS`` records.
 
 The index of an archive, sorted by url key and time, is a run. Runs are range-partitioned by
 (url key, time, id); in each range a loser tree merges the parts of all runs, so the ranges in
@@ -11,6 +12,7 @@ order are the capture history of every url.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 
@@ -73,7 +75,7 @@ def records(plan: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, **names) -> None:
     """Write a record per row of ``pages`` to WARC files in the folder ``path``."""
-    records(plan_records(pages, **names)).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records(plan_records(pages, **names)).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes):
@@ -117,7 +119,7 @@ def _index_files(batches):
         rows: list[tuple] = []
         for path, content in zip(column(batch, "path").to_pylist(), column(batch, "content"), strict=True):
             own = []
-            for offset, fields, block in parse(content.as_py()):
+            for offset, fields, block in parse(gzip.decompress(content.as_py())):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(head.lower().rpartition(b"content-length:")[2])
                 digest = fields["warc-payload-digest"].removeprefix("sha256:")
