@@ -5,10 +5,12 @@ cell of its nearest centroid and a guest in the cells whose border is near: with
 angle ``t``, a neighbour of ``y`` can be at home in cell ``c`` only if
 ``y.(h - c) <= tan(t) * |h - c|`` (``h``: the centroid of ``y``'s home), and a vector is a guest
 where that holds with ``MARGIN`` times the right side. ``MARGIN = 1`` loses no link at all;
-smaller margins give fewer guests at a measured loss.
+smaller margins give fewer guests at a measured loss. Both vectors of a link fulfil this for the
+other's cell, so of two cells only one receives guests from the other, and each pair meets once.
 
-Cells are cut into blocks. A task multiplies two blocks and returns, for each vector, the number
-of its links and the links of a spanning forest of what it found; pairs are never emitted.
+Cells are cut into blocks. A task multiplies two blocks, a slice at a time, and returns, for each
+vector, the number of its links and the links of a spanning forest of what it found; pairs are
+never emitted.
 """
 
 from __future__ import annotations
@@ -22,11 +24,11 @@ from .common import materialise, prepare
 from .components import connected_components
 
 #: Vectors that centroids are fitted on, wanted vectors of a cell, most cells, rounds of k-means.
-SAMPLE, CELL, MAX_CELLS, FIT_ROUNDS = 20_000, 256, 4096, 8
+SAMPLE, CELL, MAX_CELLS, FIT_ROUNDS = 20_000, 1024, 4096, 8
 #: Share of the exact border width inside which a vector is a guest; see the module's text.
 MARGIN = 0.6
-#: Vectors of a block.
-BLOCK = 256
+#: Vectors of a block, and of a slice of it. A row is copied once for each block that it meets.
+BLOCK, SLICE = 2048, 256
 
 
 def _unit(vectors: pd.Series) -> list[bytes | None]:
@@ -67,6 +69,11 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = FIT_ROUNDS, seed
     return centroids
 
 
+def _receives(cell: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether ``cell`` receives guests at home in ``other``: true for one order of two cells."""
+    return (cell != other) & ((cell < other) ^ ((cell + other) % 2 == 1))
+
+
 def _assigner(centroids, threshold: float, margin: float):
     reach = margin * np.sqrt(1 - threshold**2) / threshold
 
@@ -80,7 +87,7 @@ def _assigner(centroids, threshold: float, margin: float):
             home = near.argmax(axis=1)
             best = near[np.arange(len(near)), home][:, None]
             inside = best - near <= reach * gaps[home]
-            inside[np.arange(len(near)), home] = False
+            inside &= _receives(np.arange(len(points)), home[:, None])
             yield batch.assign(home=home.astype(np.int32), guest=[np.flatnonzero(x).astype(np.int32) for x in inside])
 
     return run
@@ -96,29 +103,26 @@ def _products(threshold: float):
         out = {"a": [], "b": [], "n": []}
         if len(first) and len(own):
             x, y = _matrix(first["unit"]), _matrix(own["unit"])
-            p, q = np.nonzero(x @ y.T >= threshold)
-            if alone:
-                p, q = p[p < q], q[p < q]
-            cell = int(rows["cell"].iloc[0])
-            home_x, home_y = first["home"].to_numpy(), own["home"].to_numpy()
-            # A pair with two homes meets in both cells if each is a guest of the other; the smaller cell counts it.
-            both = (home_x[p] == cell) & (home_y[q] != cell) & (home_y[q] < cell)
-            if both.any():
-                guests = [set(g) for g in first["guest"]]
-                both[both] = [home_y[j] in guests[i] for i, j in zip(p[both], q[both], strict=True)]
-                p, q = p[~both], q[~both]
-            if len(p):
-                ids_x, ids_y = first["cid"].to_numpy(), own["cid"].to_numpy()
-                for ids, hits, sizes in ((ids_x, p, own["size"].to_numpy()[q]), (ids_y, q, first["size"].to_numpy()[p])):
-                    sums = np.bincount(hits, sizes, len(ids))
-                    some = np.flatnonzero(sums)
-                    out["a"] += ids[some].tolist()
-                    out["b"] += [None] * len(some)
-                    out["n"] += sums[some].astype(np.int64).tolist()
-                forest = _forest(ids_x[p], ids_y[q])
-                out["a"] += forest[:, 0].tolist()
-                out["b"] += forest[:, 1].tolist()
-                out["n"] += [0] * len(forest)
+            ids_x, ids_y = first["cid"].to_numpy(), own["cid"].to_numpy()
+            size_x, size_y = first["size"].to_numpy(), own["size"].to_numpy()
+            sums_x, sums_y, forests = np.zeros(len(x)), np.zeros(len(y)), []
+            for at in range(0, len(x), SLICE):
+                p, q = np.nonzero(x[at : at + SLICE] @ y.T >= threshold)
+                p += at
+                if alone:
+                    p, q = p[p < q], q[p < q]
+                sums_x += np.bincount(p, size_y[q], len(x))
+                sums_y += np.bincount(q, size_x[p], len(y))
+                forests.append(_forest(ids_x[p], ids_y[q]))
+            for ids, sums in ((ids_x, sums_x), (ids_y, sums_y)):
+                some = np.flatnonzero(sums)
+                out["a"] += ids[some].tolist()
+                out["b"] += [None] * len(some)
+                out["n"] += sums[some].astype(np.int64).tolist()
+            forest = _forest(*np.concatenate(forests).T)
+            out["a"] += forest[:, 0].tolist()
+            out["b"] += forest[:, 1].tolist()
+            out["n"] += [0] * len(forest)
         return pd.DataFrame({k: pd.array(v, "Int64") for k, v in out.items()})
 
     return run
@@ -141,7 +145,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept).
 
     Two vectors are linked when their cosine in double precision is at least ``threshold``.
@@ -163,7 +167,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MA
     classes = materialise(valid.groupBy("unit").agg(F.min("_id").alias("cid"), F.count(F.lit(1)).alias("size")), "vectors")
     total = classes.count()
     if total:
-        found = materialise(_links(classes, total, threshold, margin), "links")
+        found = materialise(_links(classes, total, threshold, margin, cell, block), "links")
     else:
         found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
 
@@ -177,25 +181,25 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MA
     return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(classes: DataFrame, total: int, threshold: float, margin: float) -> DataFrame:
+def _links(classes: DataFrame, total: int, threshold: float, margin: float, wanted: int, most: int) -> DataFrame:
     """(a, null, links of a) and (a, b, 0) rows of the spanning forests."""
     spark = classes.sparkSession
     drawn = classes.orderBy(F.xxhash64("unit"), "cid").limit(SAMPLE).select("unit").toPandas()
-    centroids = fit_centroids(_matrix(drawn["unit"]), max(1, min(MAX_CELLS, total // CELL)))
+    centroids = fit_centroids(_matrix(drawn["unit"]), max(1, min(MAX_CELLS, total // wanted)))
     shared = spark.sparkContext.broadcast(centroids)
     placed = classes.mapInPandas(_assigner(shared, threshold, margin), "unit binary, cid bigint, size bigint, home int, guest array<int>")
     placed = materialise(placed, "placed")
     # At most MAX_CELLS rows: the number of blocks of each cell.
-    blocks = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("cid", "unit"), F.col("blocks")).cast("int")
-    columns = ["unit", "cid", "size", "home", "guest"]
+    columns = ["unit", "cid", "size"]
     home = placed.withColumn("cell", F.col("home")).join(F.broadcast(blocks), "cell").withColumn("block", block)
     # Block pairs i <= j of a cell: a row of block k is on the first side of (k, j) and the second of (i, k).
     first = home.select("cell", *columns, F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"))
     second = home.where("block > 0").select("cell", *columns, F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), F.lit(1).alias("side"))
     # Guests of a cell in blocks of their own (j < 0), against each block of the cell.
     visits = placed.select(*columns, F.explode("guest").alias("cell"))
-    guests = materialise(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parties")), "parties")
+    guests = materialise(visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parties")), "parties")
     visits = visits.join(F.broadcast(blocks), "cell").join(F.broadcast(guests), "cell")
     party = (-1 - F.pmod(F.xxhash64("cid", "unit"), F.col("parties"))).cast("int")
     visitors = visits.select("cell", *columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), party.alias("j"), F.lit(1).alias("side"))
