@@ -98,7 +98,9 @@ def _products(threshold: float):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         first, second = rows[rows["side"] == 0], rows[rows["side"] == 1]
-        alone = not len(second)
+        if not len(rows):
+            return pd.DataFrame({k: pd.array([], "Int64") for k in "abn"})
+        alone = bool(rows["i"].iloc[0] == rows["j"].iloc[0])  # hashing can leave a block empty
         own = first if alone else second
         out = {"a": [], "b": [], "n": []}
         if len(first) and len(own):

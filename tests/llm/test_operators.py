@@ -192,6 +192,12 @@ def test_loser_tree():
         assert list(warc.LoserTree(runs, lambda x: x)) == sorted(x for r in runs for x in r)
 
 
+def test_cells_meet_once():
+    cells = np.arange(9)
+    meets = embeddings._receives(cells[:, None], cells[None])
+    assert (meets ^ meets.T == ~np.eye(9, dtype=bool)).all()
+
+
 def test_embeddings(spark):
     draw = np.random.default_rng(2)
     base = draw.normal(size=(40, 16))
@@ -203,8 +209,10 @@ def test_embeddings(spark):
     unit = matrix / np.linalg.norm(matrix, axis=1)[:, None]
     linked = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
     label = classes(len(unit), np.argwhere(linked).tolist())
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, margin=1.0).collect()}
-    assert got == {i: (int(linked[i].sum()), label[i], label[i] == i) for i in range(len(unit))} | {i: (0, i, True) for i in range(1000, 1006)}
+    want = {i: (int(linked[i].sum()), label[i], label[i] == i) for i in range(len(unit))} | {i: (0, i, True) for i in range(1000, 1006)}
+    for cell, block in ((embeddings.CELL, embeddings.BLOCK), (12, 5), (40, 16)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, margin=1.0, cell=cell, block=block).collect()}
+        assert got == want
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
