@@ -5,7 +5,8 @@ form one class, and everything below runs on one representative of each class. `
 bands of ``ROWS`` universal-hash minima give the buckets. Links are found in passes:
 
 * star passes compare each member of a bucket with one pivot of the bucket (the smallest id,
-  then one drawn by hash) and join what they confirm to components;
+  then, in buckets of more than ``BLOCK`` members, one drawn by hash) and join what they
+  confirm to components;
 * the last pass compares, in buckets whose members are still in several components, every
   pair across components, in blocks: members outside the bucket's largest component go to
   all blocks of it. There a set is written as its difference from the set of that component's
@@ -239,7 +240,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     check = _Checker(rows, leaders, shingle_words, threshold)
     components = None
     for turn in range(STAR_PASSES):
-        found = check(materialise(_star_pairs(buckets, components, turn), "candidates"))
+        pairs = materialise(_star_pairs(buckets, components, turn), "candidates")
+        if turn and pairs.isEmpty():
+            break
+        found = check(pairs)
         links = links.unionByName(found)
         components = materialise(connected_components(links), "components")
     found = check.across(_mixed(buckets, components))
@@ -317,7 +321,8 @@ def _star_pairs(buckets: DataFrame, components: DataFrame | None, turn: int) ->
         pivots = buckets.groupBy("key").agg(F.min("cid").alias("pivot"))
         pairs = buckets.join(pivots, "key").where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
         return pairs.distinct()
-    rows = _mixed(buckets, components)
+    # Buckets of one block are left to the last pass, which compares every pair in them.
+    rows = _mixed(buckets, components).where(F.col("n") > BLOCK)
     # The pivot is drawn by hash, so another pass tries another member.
     pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
     pairs = rows.join(pivots.select("key", "p.pivot", "p.pivot_comp"), "key").where("comp != pivot_comp")
