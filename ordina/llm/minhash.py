@@ -76,10 +76,14 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """One 64-bit bucket key for each band."""
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    """One 64-bit bucket key for each band of each signature.
+
+    Signatures hold 16 bits of each minimum; equal minima give equal keys, and others meet by
+    chance too rarely to matter to the checks that follow.
+    """
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signatures), BANDS))
+    for row in np.moveaxis(signatures.reshape(-1, BANDS, ROWS), 2, 0):
         keys = (keys ^ row.astype(np.uint64)) * _MIX[0]
         keys ^= keys >> np.uint64(31)
     return keys
@@ -88,17 +92,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 def _features(words: int):
     def run(batches):
         for batch in batches:
-            sizes, prints, signatures, bands = [], [], [], []
+            sizes, prints, signatures = [], [], []
             for text in column(batch, "_text").to_pylist():
                 shingles = shingle_set(text, words)
                 sizes.append(len(shingles))
                 prints.append(xxhash.xxh128_digest(shingles.tobytes()) if len(shingles) else None)
-                least = minima(shingles) if len(shingles) else None
-                signatures.append(least.astype("<u2").tobytes() if least is not None else None)
-                bands.append(band_keys(least).view(np.int64).tobytes() if least is not None else None)
+                signatures.append(minima(shingles).astype("<u2").tobytes() if len(shingles) else None)
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures, bands))],
-                ["_id", "n_shingles", "print", "signature", "bands"],
+                [column(batch, "_id"), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (prints, signatures))],
+                ["_id", "n_shingles", "print", "signature"],
             )
 
     return run
@@ -106,9 +108,8 @@ def _features(words: int):
 
 def _explode_bands(batches):
     for batch in batches:
-        bands = column(batch, "bands").to_pylist()
-        keys = np.frombuffer(b"".join(bands), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), column(batch, "cid").take(pa.array(np.repeat(np.arange(len(bands)), BANDS)))], ["key", "cid"])
+        keys = band_keys(np.frombuffer(b"".join(column(batch, "signature").to_pylist()), "<u2").reshape(-1, BANDS * ROWS))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), column(batch, "cid").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["key", "cid"])
 
 
 def _floor(threshold: tuple[int, int]) -> float:
@@ -221,17 +222,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    schema = "_id bigint, n_shingles bigint, print binary, signature binary, bands binary"
+    schema = "_id bigint, n_shingles bigint, print binary, signature binary"
     features = materialise(rows.mapInArrow(_features(shingle_words), schema), "features")
 
     known = features.where("_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("print").agg(F.min("_id").alias("cid"))
-    members = known.select("_id", "print").join(classes, "print").select("_id", "cid").distinct()
+    members = known.select("_id", "print").join(classes, "print").distinct()
     members = materialise(members, "members")
-    leaders = known.join(classes.select(F.col("print").alias("p"), "cid"), (F.col("print") == F.col("p")) & (F.col("_id") == F.col("cid")), "left_semi")
-    leaders = leaders.dropDuplicates(["_id", "print"]).select(F.col("_id").alias("cid"), "print", "n_shingles", "signature", "bands")
-    leaders = materialise(leaders, "leaders")
-    buckets = materialise(leaders.select("cid", "bands").mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
+    # By id and print, over which a large class is spread.
+    firsts = members.where("_id = cid").select("_id", "print")
+    leaders = known.join(firsts, ["_id", "print"], "left_semi").dropDuplicates(["_id", "print"])
+    leaders = materialise(leaders.select(F.col("_id").alias("cid"), "signature"), "leaders")
+    buckets = materialise(leaders.mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialise(buckets.join(shared.select("key"), "key", "left_semi"), "shared")
 
