@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     features = materialise(rows.mapInArrow(_features(shingle_words), schema), "features")
 
     known = features.where("_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("print").agg(F.min("_id").alias("cid"))
+    # Written, so that the join below can split a large class.
+    classes = materialise(known.groupBy("print").agg(F.min("_id").alias("cid")), "classes")
     members = known.select("_id", "print").join(classes, "print").distinct()
     members = materialise(members, "members")
     # By id and print, over which a large class is spread.
