@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialise, partitions, prepare, runs
+from .common import begin, cache_of, column, materialise, partitions, prepare, runs
 
 #: Bytes of text in a block, and buckets of words for each shuffle partition.
 BLOCK_BYTES = 8 << 20
@@ -128,6 +128,9 @@ def _vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
 
 
+cache_of("bpe", _vocabulary.cache_clear)
+
+
 def _pack(value) -> bytes:
     return zstandard.compress(pickle.dumps(value, 5), 3)
 
@@ -182,6 +185,7 @@ def _blocks(vocabulary_text, names: list[str], text_col: str, buckets: int, kind
     def run(batches):
         import xxhash
 
+        begin("bpe")
         vocabulary = _vocabulary(vocabulary_text.value)
         for table in runs(batches, BLOCK_BYTES, text_col):
             texts = table.column(text_col).combine_chunks()

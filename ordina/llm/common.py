@@ -8,6 +8,8 @@ they cut the lineage of iterative work.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -78,6 +80,30 @@ def sweep(spark: SparkSession, still_used: DataFrame | None = None) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_CACHES: dict[str, list] = {}
+_LAST = [""]
+
+
+def cache_of(owner: str, clear) -> None:
+    """Register what empties a cache that a Python worker keeps between tasks of ``owner``."""
+    _CACHES.setdefault(owner, []).append(clear)
+
+
+def begin(owner: str) -> None:
+    """Called as a Python task begins: a reused worker lets go of what other operators left in it."""
+    if _LAST[0] != owner:
+        _LAST[0] = owner
+        for name, clears in _CACHES.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+
 #: Bits of the filter below (4 MB), whatever the number of ids.
 FILTER_BITS = 1 << 25
 
@@ -98,6 +124,7 @@ def rows_of(df: DataFrame, column_name: str, ids: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def is_marked(slots: pd.Series) -> pd.Series:
+        begin("rows_of")
         at = slots.to_numpy()
         return pd.Series((np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1)
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, prepare
+from .common import begin, cache_of, held_out, learnable, prepare
 from .ftrl import softmax, temperature, train_multinomial
 
 #: Hash buckets, most rows to train on, most languages (the most frequent), passes, rates.
@@ -35,6 +35,9 @@ def _letters() -> np.ndarray:
     return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
+cache_of("langid", _letters.cache_clear)
+
+
 def counts(text: str | None) -> np.ndarray | None:
     """Counts of n-grams by bucket, null if the text has no letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), "<u4")
@@ -57,6 +60,7 @@ def vector(n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches):
+    begin("langid")
     seen, total = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
         for text in batch["_text"]:
@@ -142,6 +146,7 @@ def _sparse(batches):
 
 def _predictor(model):
     def run(batches):
+        begin("langid")
         for batch in batches:
             found = [model.value.predict(t) for t in batch["_text"]]
             yield batch.drop(columns="_text").assign(lang_pred=[x for x, _ in found], lang_score=[s for _, s in found])

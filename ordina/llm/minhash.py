@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialise, prepare, rows_of
+from .common import begin, column, materialise, prepare, rows_of
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
@@ -91,6 +91,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _features(words: int):
     def run(batches):
+        begin("minhash")
         for batch in batches:
             sizes, prints, signatures = [], [], []
             for text in column(batch, "_text").to_pylist():
@@ -107,6 +108,7 @@ def _features(words: int):
 
 
 def _explode_bands(batches):
+    begin("minhash")
     for batch in batches:
         keys = band_keys(np.frombuffer(b"".join(column(batch, "signature").to_pylist()), "<u2").reshape(-1, BANDS * ROWS))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), column(batch, "cid").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["key", "cid"])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, learnable, prepare
+from .common import begin, cache_of, held_out, learnable, prepare
 from .ftrl import sigmoid, train_binary
 
 #: Hash buckets, most labelled rows to train on, passes over them, penalties and rates.
@@ -52,6 +52,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+cache_of("quality", _WORDS.clear)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +81,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featurise(batches):
+    begin("quality")
     for batch in batches:
         rows = [features(t) for t in batch["_text"]]
         yield pd.DataFrame({"_label": batch["_label"], "_order": batch["_order"], "at": [a.astype("<i4").tobytes() for a, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows]})
@@ -104,6 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(weights):
     def run(batches):
+        begin("quality")
         for batch in batches:
             scores = []
             for text in batch["_text"]:
