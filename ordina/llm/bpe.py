@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, cache_of, column, materialise, partitions, prepare, runs
+from .common import cache_of, column, materialise, partitions, prepare, runs, tidy, trim
 
 #: Bytes of text in a block, and buckets of words for each shuffle partition.
 BLOCK_BYTES = 8 << 20
@@ -185,7 +185,6 @@ def _blocks(vocabulary_text, names: list[str], text_col: str, buckets: int, kind
     def run(batches):
         import xxhash
 
-        begin("bpe")
         vocabulary = _vocabulary(vocabulary_text.value)
         for table in runs(batches, BLOCK_BYTES, text_col):
             texts = table.column(text_col).combine_chunks()
@@ -206,6 +205,7 @@ def _blocks(vocabulary_text, names: list[str], text_col: str, buckets: int, kind
                     own = [words[i].encode() for i in order[ends[b] : ends[b + 1]]]
                     rows.append((1, block, int(b), _pack((np.array([*map(len, own)], np.uint32), b"".join(own)))))
             del texts, counts, numbers, words
+            trim()
             yield pa.RecordBatch.from_pydict(dict(zip(_BLOCK.names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {n: [] for n in _BLOCK.names}, schema=_BLOCK)
 
     return run
@@ -301,11 +301,11 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     buckets = BUCKETS_PER_PARTITION * partitions(spark)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if store_blocks:
-        blocks = materialise(rows.mapInArrow(_blocks(shared, ["_id"], "_text", buckets, (0, 1)), _BLOCK_DDL), "blocks")
+        blocks = materialise(rows.mapInArrow(tidy(_blocks(shared, ["_id"], "_text", buckets, (0, 1)), "bpe"), _BLOCK_DDL), "blocks")
         payload, words = blocks.where("kind = 0"), blocks.where("kind = 1")
     else:
-        payload, words = (rows.mapInArrow(_blocks(shared, ["_id"], "_text", buckets, (kind,)), _BLOCK_DDL) for kind in (0, 1))
-    words = words.repartition("bucket").mapInArrow(_encoder(shared), _BLOCK_DDL)
+        payload, words = (rows.mapInArrow(tidy(_blocks(shared, ["_id"], "_text", buckets, (kind,)), "bpe"), _BLOCK_DDL) for kind in (0, 1))
+    words = words.repartition("bucket").mapInArrow(tidy(_encoder(shared), "bpe"), _BLOCK_DDL)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, ids_le binary"
     arrow = pa.schema([(f.name, f.type) for f in to_arrow_schema(rows.select("_id").schema)] + [("ids_le", pa.binary())])
     joined = payload.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_join(arrow, finish), finish_schema or schema)

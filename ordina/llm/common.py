@@ -98,10 +98,30 @@ def begin(owner: str) -> None:
                 for clear in clears:
                     clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
-        if trim:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory of this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if release:
+        release(0)
+
+
+def tidy(function, owner: str):
+    """``function`` of batches, after which its worker keeps no cache of ``owner``."""
+
+    def run(batches):
+        begin(owner)
+        try:
+            yield from function(batches)
+        finally:
+            for clear in _CACHES.get(owner, []):
+                clear()
+            trim()
+
+    return run
 
 
 #: Bits of the filter below (4 MB), whatever the number of ids.
