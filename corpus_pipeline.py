@@ -23,12 +23,6 @@ LEAST_LANGUAGE = 0.3
 ORACLE_SQL = None
 
 
-def _joined(docs: DataFrame, verdicts: DataFrame, keep) -> DataFrame:
-    """Rows of ``docs`` whose id has a verdict that ``keep`` accepts, once for each id."""
-    ids = verdicts.where(keep).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.dropDuplicates(["doc_id"]).join(ids, F.col("doc_id") == F.col("_kept"), "left_semi")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     common.sweep(spark, docs)
@@ -44,15 +38,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One row of each group of equal texts, whatever its id."""
     common.sweep(spark, docs)
-    return _joined(docs, exact_dedup.exact_groups(docs), F.col("kept"))
+    # A row is known by its id and text together; rows that agree in both are copies.
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("_row", F.md5(whole.cast("binary")))
+    kept = exact_dedup.exact_groups(rows, carry=["_row"]).where("kept").select(F.col("_row").alias("_kept"))
+    return rows.dropDuplicates(["_row"]).join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One row of each group of near duplicates: five-word shingles, similarity 0.8.
+
+    Rows that share an id are compared each by itself, under a 64-bit hash of id and text; of a
+    group the smallest id stays. As in the operator, rows with a null id all stay.
+    """
     common.sweep(spark, docs)
-    return _joined(docs, minhash.near_duplicates(docs, shingle_words=5, threshold=(80, 100)), F.col("kept"))
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    known = rows.where("doc_id IS NOT NULL")
+    found = minhash.near_duplicates(known, shingle_words=5, threshold=(80, 100), id_col="_row").select("_row", "component_id")
+    groups = found.join(known.select("_row", "doc_id"), "_row").groupBy("component_id")
+    kept = groups.agg(F.min(F.struct("doc_id", "_row")).alias("_least")).select(F.col("_least._row").alias("_kept"))
+    kept = kept.unionByName(rows.where("doc_id IS NULL").select(F.col("_row").alias("_kept")))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

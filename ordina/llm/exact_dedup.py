@@ -13,6 +13,8 @@ the joins on that list may broadcast it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,13 +31,14 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[ \\t-\\r]+", "")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: (id, keep_id, group_size, kept, text_sha256).
 
     Of equal texts the row with the most code points in its original text stays, then the
     one with the smallest id (a null id counts as the largest). Null text is the empty
     text, so nulls, empty and blank texts form one group. Of rows that share the id as well,
-    one is kept. Other columns are ignored, whatever their names.
+    one is kept. Columns ``carry`` of each row (no name that is used here) follow; others are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     slices = partitions(spark)
@@ -43,6 +46,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("_id"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"),
         normalised(F.col(text_col)).alias("_norm"),
+        *carry,
     ).select("*", F.xxhash64("_norm").alias("_hash"))
 
     counts = docs.select(F.xxhash64(normalised(F.col(text_col))).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
@@ -58,6 +62,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("_heavy"), F.lit(SUB_RANGES) + F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4 * slices)))
         .otherwise(F.pmod("_hash", F.lit(SUB_RANGES)))
         .alias("_slice"),
+        *carry,
     )
     run = Window.partitionBy("_prefix", "_slice", "_norm")
     in_order = run.orderBy(F.desc("_points"), F.asc_nulls_last("_id"))
@@ -71,6 +76,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.first("_id").over(whole).alias("_lead"),
         F.first("_points").over(whole).alias("_lead_points"),
         F.count(F.lit(1)).over(whole).alias("_size"),
+        *carry,
     )
     runs = materialise(runs, "runs")  # no texts in it
     # The leaders of a heavy text's slices: at most 4 * partitions rows for each of them.
@@ -91,4 +97,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("_all", "_size").cast("long").alias("group_size"),
         (F.col("_id").eqNullSafe(keep) & (F.col("_nth") == 1)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
+        *carry,
     )

@@ -100,3 +100,19 @@ def test_empty_pipeline(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_decide_by_row(spark):
+    words = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(6)]
+    near = words[4].replace("t4w59", "other")
+    rows = [(3, words[0]), (7, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (None, words[3]), (9, words[4]), (9, words[4]), (8, near), (8, words[5]), (None, None), (11, " ")]
+    schema = spark.read.parquet(f"{FOLDER}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema)
+    order = lambda found: sorted(found, key=str)
+    exact = corpus_pipeline.exact_stage(spark, docs, "")
+    assert exact.schema.names == schema.names
+    want = [(3, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (9, words[4]), (8, near), (8, words[5]), (11, " ")]
+    assert order((r["doc_id"], r["text"]) for r in exact.collect()) == order(want)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [*want, (None, near), (7, near + " x"), (2, words[2])]], schema)
+    want = [(3, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (7, near + " x"), (8, words[5]), (11, " "), (None, near), (2, words[2])]
+    assert order((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == order(want)
