@@ -3,8 +3,10 @@
 Only the histogram of piece lengths (at most ``capacity`` numbers) reaches the driver. A
 configuration is a multiset of lengths that fits one sequence. The covering program over
 configurations is solved by multiplicative weights: a length's weight falls with the part of
-it that is covered, and a knapsack dynamic program over the weights gives the next
-configuration. Rounding takes whole multiples of the configurations and packs what is left
+it that is covered, a knapsack dynamic program over the weights of the lengths that still lack
+cover gives the next configuration, and that is taken until one of its lengths is covered. So
+there are at most as many rounds as lengths, and the program ends with all of them covered.
+Every round also gives a lower bound of the program's value by duality. Rounding takes whole multiples of the configurations and packs what is left
 by best fit, on the histogram as well. Pieces then get their place from their
 rank among pieces of equal length.
 """
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from .bpe import encode
 from .common import column, materialise, partitions
 
-#: Rounds of multiplicative weights and their rate.
-ROUNDS, RATE = 200, 0.5
+#: Rate of multiplicative weights, and how much more a token of a piece of full length is worth
+#: (long pieces first: short ones fill what they leave).
+RATE, LONGER = 0.5, 0.5
 
 
 @dataclass
@@ -40,6 +43,10 @@ class Plan:
     first_sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    #: Lower bound and value of the program, and the share of its solution that was taken.
+    bound: float
+    program: float
+    share: float
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of the pieces with these lengths and ranks."""
@@ -103,6 +110,29 @@ def best_fit(count: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     return [(taken, n) for group in by_room.values() for taken, n in group if taken.any()]
 
 
+def cover(demand: np.ndarray, capacity: int) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations with their shares that cover all of ``demand``, and a lower bound of their sum."""
+    lengths, asked = np.arange(capacity + 1), demand > 0
+    covered, weight = np.zeros(capacity + 1), np.ones(capacity + 1)
+    shares: dict[bytes, float] = {}
+    bound = float((lengths * demand).sum()) / capacity
+    open_ = asked.copy()
+    while open_.any():
+        value = np.where(open_, lengths * weight * (1 + LONGER * lengths / capacity), 0.0)
+        taken = knapsack(value, capacity)
+        # No configuration is worth more, so the values over its worth are feasible in the dual.
+        bound = max(bound, float((value * demand).sum() / (value * taken).sum()))
+        used = np.flatnonzero(taken)
+        rounds = (1 - covered[used]) * demand[used] / taken[used]
+        step = float(rounds.min())
+        shares[taken.tobytes()] = shares.get(taken.tobytes(), 0.0) + step
+        covered[used] += taken[used] * step / demand[used]
+        open_[used[rounds <= step * (1 + 1e-9)]] = False
+        if open_.any():
+            weight[open_] = np.exp(-RATE * (covered[open_] - covered[open_].min()))
+    return [(np.frombuffer(k, np.int64), x) for k, x in sorted(shares.items(), key=lambda p: (-p[1], p[0]))], bound
+
+
 def solve(histogram: dict[int, int], capacity: int) -> Plan:
     """Pack ``histogram`` (pieces by length, 1 to ``capacity``) into sequences."""
     count = np.zeros(capacity + 1, np.int64)
@@ -110,7 +140,6 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
         if not 1 <= length <= capacity:
             raise ValueError(f"no piece of length {length} fits {capacity}")
         count[length] = n
-    lengths = np.arange(capacity + 1)
     chosen: list[tuple[np.ndarray, int]] = []
     rest = count.copy()
     if rest[capacity]:
@@ -119,35 +148,23 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
         chosen.append((only, int(rest[capacity])))
         rest[capacity] = 0
 
-    # Multiplicative weights: the value of a length is its share of a sequence times its weight.
-    demand, covered, weight = rest.astype(float), np.zeros(capacity + 1), np.ones(capacity + 1)
-    fractions: dict[bytes, float] = {}
-    open_ = demand > 0
-    for _ in range(ROUNDS if open_.any() else 0):
-        taken = knapsack(np.where(open_, lengths * weight, 0.0), capacity)
-        used = taken > 0
-        step = float((demand[used] / taken[used]).min()) / 4
-        fractions[taken.tobytes()] = fractions.get(taken.tobytes(), 0.0) + step
-        covered[used] += taken[used] * step / demand[used]
-        weight[open_] = np.exp(-RATE * (covered[open_] - covered[open_].min()))
-    scale = max(1.0, float(covered[open_].mean())) if open_.any() else 1.0
+    full = int(count[capacity])
+    ordered, bound = cover(rest, capacity)
 
     # Rounding: whole multiples of a share of the solution, best fit for what remains. The
     # share with the fewest sequences wins.
-    ordered = sorted(fractions.items(), key=lambda p: (-p[1], p[0]))
-    best = None
+    best, won = None, 0.0
     for share in (1.0, 0.5, 0.0):
         tried, left = [], rest.copy()
-        for key, x in ordered if share else ():
-            taken = np.frombuffer(key, np.int64)
+        for taken, x in ordered if share else ():
             used = taken > 0
-            n = int(min(share * x // scale, (left[used] // taken[used]).min()))
+            n = int(min(share * x + 1e-6, (left[used] // taken[used]).min()))
             if n > 0:
                 tried.append((taken, n))
                 left = left - n * taken
         tried += best_fit(left, capacity)
         if best is None or sum(n for _, n in tried) < sum(n for _, n in best):
-            best = tried
+            best, won = tried, share
     chosen += best
 
     slots, base, given = [], 0, np.zeros(capacity + 1, np.int64)
@@ -160,7 +177,7 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
             offset += k * length
         base += n
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    return Plan(*table.T, sequences=base)
+    return Plan(*table.T, sequences=base, bound=full + bound, program=full + sum(x for _, x in ordered), share=won)
 
 
 def _cut(capacity: int, end_id: int):

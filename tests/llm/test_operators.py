@@ -137,6 +137,17 @@ def test_packing_plan(histogram):
         packing.solve({1025: 1}, 1024)
 
 
+@pytest.mark.parametrize("demand", [{600: 10, 500: 10, 300: 5, 124: 3}, {i: 1 + i % 7 for i in range(1, 1024)}])
+def test_packing_program_covers_all(demand):
+    count = np.zeros(1025, np.int64)
+    count[list(demand)] = list(demand.values())
+    shares, bound = packing.cover(count, 1024)
+    assert all((taken * np.arange(1025)).sum() <= 1024 for taken, _ in shares)
+    covered = sum(taken * x for taken, x in shares)
+    assert np.allclose(covered, count) and bound >= (count * np.arange(1025)).sum() / 1024
+    assert len(demand) < 1000 or bound <= sum(x for _, x in shares) <= 1.002 * bound
+
+
 def test_exact(spark):
     texts = ["a b", "ab", " a\tb ", None, "", " \r\n", "c", "é b", "éb", " b"] + ["hot text"] * 300 + ["hottext "]
     got = {r["doc_id"]: r for r in exact_dedup.exact_groups(odd_docs(spark, texts)).collect()}
