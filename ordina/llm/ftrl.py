@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+from dataclasses import dataclass
+
 import numpy as np
 
+#: Numbers of state (features x outputs) above which training keeps it in a file.
+IN_MEMORY = 1 << 24
+
+
+def _state(features: int, outputs: int) -> np.ndarray:
+    if features * outputs <= IN_MEMORY:
+        return np.zeros((features, outputs))
+    with tempfile.TemporaryFile() as file:  # it goes with the array
+        return np.memmap(file, float, "w+", shape=(features, outputs))
+
 
 class Ftrl:
     """Per-coordinate learning rates, L1 and L2 penalties. One column of weights per output."""
 
     def __init__(self, features: int, outputs: int, alpha: float, beta: float, l1: float, l2: float):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z = np.zeros((features, outputs))
-        self.n = np.zeros((features, outputs))
+        self.z = _state(features, outputs)
+        self.n = _state(features, outputs)
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
@@ -26,6 +39,34 @@ class Ftrl:
         self.n[at] = more
 
 
+@dataclass
+class SparseRows:
+    """A matrix without its zeros: row i holds ``values[start[i]:start[i + 1]]`` in ``columns``."""
+
+    start: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    width: int
+
+    @classmethod
+    def of(cls, matrix: np.ndarray) -> SparseRows:
+        i, j = np.nonzero(matrix)
+        return cls(np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(matrix)))]), j.astype(np.int32), matrix[i, j], matrix.shape[1])
+
+    @classmethod
+    def joined(cls, parts: list[SparseRows]) -> SparseRows:
+        """The rows of all parts, in order."""
+        sizes = np.concatenate([np.diff(p.start) for p in parts])
+        return cls(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([p.columns for p in parts]), np.concatenate([p.values for p in parts]), parts[0].width)
+
+    def dot(self, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The sum of the rows ``at`` times ``values``."""
+        sizes = self.start[at + 1] - self.start[at]
+        ends = np.cumsum(sizes)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - (ends - sizes), sizes)
+        return np.bincount(self.columns[where], self.values[where] * np.repeat(values, sizes), minlength=self.width)
+
+
 def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0)))
 
@@ -46,7 +87,7 @@ def train_binary(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return model.weights()[:, 0]
 
 
-def train_multinomial(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, classes: int, epochs: int, seed: int = 13, **rates) -> np.ndarray:
+def train_multinomial(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, classes: int, epochs: int, seed: int = 13, **rates) -> SparseRows:
     """Weights (features x classes) of a multinomial logistic regression."""
     model, draw = Ftrl(features, classes, **rates), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -56,7 +97,8 @@ def train_multinomial(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndar
             error = softmax(values @ w)
             error[labels[i]] -= 1.0
             model.update(at, values, error, w)
-    return model.weights()
+    block = max(1, IN_MEMORY // (8 * max(1, classes)))
+    return SparseRows.joined([SparseRows.of(model.weights(slice(i, i + block))) for i in range(0, features, block)])
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:

@@ -3,8 +3,10 @@
 Features are one to three letters in a row (lower case, a border before and after each word) in
 ``FEATURES`` hash buckets: square root of the share times the inverse document frequency,
 scaled to length one. Document frequencies cover all rows that may be learned from. Weights come
-from FTRL with L1 and L2 penalties on at most ``SAMPLE`` rows, spread evenly over languages; a
-fifth of them is held back to fit the temperature that divides the logits.
+from FTRL with L1 and L2 penalties on about ``SAMPLE`` rows, spread evenly over all languages, and
+one row of each language whatever their number; a fifth of them is held back to fit the
+temperature that divides the logits, but never a language's first row. Weights are kept without
+their zeros, and training keeps its state in a file once there are many languages.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import begin, cache_of, held_out, learnable, prepare
-from .ftrl import softmax, temperature, train_multinomial
+from .ftrl import SparseRows, softmax, temperature, train_multinomial
 
-#: Hash buckets, most rows to train on, most languages (the most frequent), passes, rates.
-FEATURES, SAMPLE, MAX_LANGUAGES, EPOCHS = 1 << 16, 6000, 100, 3
+#: Hash buckets, rows to train on (besides one of each language), passes, rates.
+FEATURES, SAMPLE, EPOCHS = 1 << 16, 6000, 3
 RATES = {"alpha": 0.5, "beta": 1.0, "l1": 0.01, "l2": 0.5}
 #: Document frequencies travel in slices of so many numbers.
 SLICE = 2048
@@ -81,7 +83,7 @@ def _add(rows: pd.DataFrame) -> pd.DataFrame:
 class Model:
     languages: list[str]
     idf: np.ndarray
-    weights: np.ndarray
+    weights: SparseRows
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -89,7 +91,7 @@ class Model:
         if n is None or not self.languages:
             return UNKNOWN, 0.0
         at, values = vector(n, self.idf)
-        p = softmax(values @ self.weights[at] / self.temperature)
+        p = softmax(self.weights.dot(at, values) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -105,16 +107,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     seen = np.concatenate([parts.get(i, np.zeros(SLICE)) for i in range(FEATURES // SLICE)])
     idf = np.log((1 + total) / (1 + seen)) + 1.0
 
-    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "_lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["_lang"] for r in sizes)
+    # Of each language its size and the first row with a letter in hash order.
+    order = F.when(F.col("_text").rlike("\\p{L}"), F.struct(F.xxhash64("_id", F.lit(10)).alias("_order"), "_id"))
+    sizes = rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first")).collect()
+    languages = sorted(r["_lang"] for r in sizes if r["_first"] is not None)
     if not languages:
-        return Model([], idf, np.zeros((FEATURES, 0)), 1.0)
+        return Model([], idf, SparseRows.of(np.zeros((FEATURES, 0))), 1.0)
     quota = max(1, SAMPLE // len(languages))
     shares = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, 1.3 * quota / r["_n"])) for r in sizes], "_lang string, _share double")
     drawn = rows.select("_id", "_lang", F.xxhash64("_id", F.lit(9)).alias("_order"))
     drawn = drawn.join(F.broadcast(shares), "_lang").where(F.pmod("_order", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    drawn = drawn.select("_id", "_lang", F.xxhash64("_id", F.lit(10)).alias("_order")).orderBy("_order", "_id").limit(SAMPLE + SAMPLE // 2)
-    sample = rows.join(F.broadcast(drawn.select("_id", "_order").distinct()), "_id").select("_order", "_lang", "_text")
+    drawn = drawn.select("_id", F.xxhash64("_id", F.lit(10)).alias("_order")).orderBy("_order", "_id").limit(SAMPLE + SAMPLE // 2)
+    firsts = docs.sparkSession.createDataFrame([(r["_first"]["_id"], r["_first"]["_order"]) for r in sizes if r["_first"] is not None], drawn.schema)
+    sample = rows.join(F.broadcast(drawn.unionByName(firsts).distinct()), "_id").select("_order", "_lang", "_text")
     sample = sample.mapInPandas(_sparse, "_order bigint, _lang string, at binary, n binary").toPandas().sort_values(["_order", "at"], kind="stable")
 
     parsed, labels = [], []
@@ -127,9 +132,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             labels.append(number[name])
     labels = np.array(labels, np.int64)
     back = np.arange(len(parsed)) % 5 == 4
+    back[np.unique(labels, return_index=True)[1]] = False
     train = np.flatnonzero(~back)
     weights = train_multinomial([parsed[i] for i in train], labels[train], FEATURES, len(languages), EPOCHS, **RATES)
-    logits = np.array([parsed[i][1] @ weights[parsed[i][0]] for i in np.flatnonzero(back)]).reshape(-1, len(languages))
+    logits = np.array([weights.dot(*parsed[i]) for i in np.flatnonzero(back)]).reshape(-1, len(languages))
     return Model(languages, idf, weights, temperature(logits, labels[back]))
 
 

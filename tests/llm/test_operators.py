@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ordina.llm import bpe, components, embeddings, exact_dedup, html, langid, minhash, packing, quality, url_filter, warc
+from ordina.llm import bpe, components, embeddings, exact_dedup, ftrl, html, langid, minhash, packing, quality, url_filter, warc
 from ordina.llm.queries import URL_RULES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -271,3 +271,37 @@ def test_classifiers_on_odd_rows(spark):
     found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
     assert [found[i] for i in (3, 4, 10)] == ["und"] * 3 and found[12] == "en"
     assert quality.classify(empty(spark), none).count() == 0 and langid.identify(empty(spark)).count() == 0
+
+
+def test_more_than_a_hundred_languages(spark):
+    draw = np.random.default_rng(5)
+    rows = []
+    for k in range(130):
+        letters = [chr(0x4E00 + 20 * k + i) for i in range(20)]
+        for n in range(9 if k < 110 else 4):
+            rows.append((len(rows), " ".join("".join(draw.choice(letters, 4)) for _ in range(12)), f"l{k:03}"))
+    rows.append((len(rows), "123", "digits"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1} - {"digits"}
+    assert len(taught) > 120 and langid.fit(docs).languages == sorted(taught)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs).collect()}
+    # Every language that has a row to learn from is predicted.
+    assert np.mean([found[i] == lang for i, _, lang in rows if lang in taught]) > 0.95 and len(set(found.values())) > 120
+
+
+def test_sparse_rows():
+    matrix = np.where(np.random.default_rng(6).random((50, 7)) < 0.3, 1.5, 0.0)
+    at, values = np.array([3, 0, 49, 20]), np.array([0.5, 1.0, 2.0, 0.1])
+    for rows in (ftrl.SparseRows.of(matrix), ftrl.SparseRows.joined([ftrl.SparseRows.of(matrix[:20]), ftrl.SparseRows.of(matrix[20:])])):
+        assert np.allclose(rows.dot(at, values), values @ matrix[at])
+        assert (rows.dot(np.zeros(0, np.int64), np.zeros(0)) == 0).all()
+
+
+def test_training_state_in_a_file(monkeypatch):
+    draw = np.random.default_rng(7)
+    rows = [(draw.choice(40, 5, replace=False), draw.random(5)) for _ in range(30)]
+    labels, rates = draw.integers(0, 3, 30), {"alpha": 0.5, "beta": 1.0, "l1": 0.01, "l2": 0.5}
+    want = ftrl.train_multinomial(rows, labels, 40, 3, 2, **rates)
+    monkeypatch.setattr(ftrl, "IN_MEMORY", 0)
+    got = ftrl.train_multinomial(rows, labels, 40, 3, 2, **rates)
+    assert all((getattr(got, n) == getattr(want, n)).all() for n in ("start", "columns", "values"))
