@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by FTRL.
 
 Features of a whole text, in ``FEATURES`` hash buckets: words and pairs of words (lower case),
-and one to three shapes of words in a row (``IN!!`` has the shape ``A!``), and whether a word
+and one to three shapes of words in a row (``IN!!`` has the shape ``A!``; a word of more than 64
+characters has a shape for each 64 of them), and whether a word
 repeats the one before it. Each kind's counts are turned to shares and their square roots taken,
 so a text's length has no weight. The score is the sparse dot product through the logistic
 function.
@@ -23,6 +24,8 @@ from .ftrl import sigmoid, train_binary
 #: Hash buckets, most labelled rows to train on, passes over them, penalties and rates.
 FEATURES, SAMPLE, EPOCHS = 1 << 18, 6000, 5
 RATES = {"alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.5}
+#: Characters of a word that have one shape; a longer word has the shapes of its pieces.
+PIECE = 64
 #: Words whose hashes a worker remembers.
 REMEMBERED = 400_000
 
@@ -32,7 +35,7 @@ _MIX = np.random.default_rng(31).integers(0, 1 << 63, 8, np.uint64) * np.uint64(
 def shape(word: str) -> str:
     """Classes of characters, runs taken once: A upper, a other letters, 0 digits, else itself."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != kind:
             out.append(kind)
@@ -46,7 +49,7 @@ class _Words(dict):
         if len(self) > REMEMBERED:
             self.clear()
         text = word.decode()
-        value = xxhash.xxh64_intdigest(text.lower()) & ~0xFFFF | xxhash.xxh64_intdigest(shape(text)) & 0xFFFF
+        value = xxhash.xxh64_intdigest(text.lower()) & ~0xFFFF | xxhash.xxh64_intdigest(shape(text[:PIECE])) & 0xFFFF
         self[word] = value
         return value
 
@@ -55,13 +58,25 @@ _WORDS = _Words()
 cache_of("quality", _WORDS.clear)
 
 
+def _with_pieces(found: list[bytes], shapes: np.ndarray) -> np.ndarray:
+    """``shapes`` of the words with those of all pieces of long words."""
+    out, last = [], 0
+    for i, word in enumerate(found):
+        if len(word) > PIECE:
+            whole = word.decode()
+            more = [xxhash.xxh64_intdigest(shape(whole[at : at + PIECE])) & 0xFFFF for at in range(PIECE, len(whole), PIECE)]
+            out += [shapes[last : i + 1], np.array(more, np.uint64)]
+            last = i + 1
+    return np.concatenate([*out, shapes[last:]]) if out else shapes
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct feature numbers, values) of a text; empty for one without words."""
     found = (text or "").encode().split()
     if not found:
         return np.zeros(0, np.int64), np.zeros(0)
     packed = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
-    words, shapes = packed >> np.uint64(16), packed & np.uint64(0xFFFF)
+    words, shapes = packed >> np.uint64(16), _with_pieces(found, packed & np.uint64(0xFFFF))
     kinds = [
         words * _MIX[0],
         shapes * _MIX[1] + np.uint64(1),

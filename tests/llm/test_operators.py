@@ -305,3 +305,11 @@ def test_training_state_in_a_file(monkeypatch):
     monkeypatch.setattr(ftrl, "IN_MEMORY", 0)
     got = ftrl.train_multinomial(rows, labels, 40, 3, 2, **rates)
     assert all((getattr(got, n) == getattr(want, n)).all() for n in ("start", "columns", "values"))
+
+
+def test_quality_features_follow_whole_words():
+    long = "字" * 64
+    at = [set(quality.features(long + rest)[0].tolist()) for rest in ("", "a1" * 500, "!?" * 500)]
+    shapes = [set(quality.features(rest)[0].tolist()) & a for rest, a in (("a1" * 32, at[1]), ("!?" * 32, at[2]))]
+    assert len(at[0]) < len(at[1]) and shapes[0] and shapes[1] and len(at[1] ^ at[2]) > 4
+    assert quality.shape("A" * 100 + "!") == "A!"
