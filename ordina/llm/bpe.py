@@ -34,6 +34,8 @@ from .common import cache_of, column, materialise, partitions, prepare, runs, ti
 #: Bytes of text in a block, and buckets of words for each shuffle partition.
 BLOCK_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 2
+#: Most buckets. Each block has a row in each of them, so more would leave a word or two in a row.
+MAX_BUCKETS = 4096
 #: Distinct words that a task remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
 
@@ -45,6 +47,32 @@ _ODD = (
 _SETTLED = "ɐ"
 
 
+class Splitter:
+    """Cuts texts to words; knows the special tokens of a tokenizer, but not its vocabulary."""
+
+    def __init__(self, special: tuple[str, ...]):
+        self.special = special
+        self.cut = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
+        self.odd = "|".join([_ODD, *(re.escape(c).replace("<", r"\x3c").replace(">", r"\x3e") for c in special)])
+
+    @cached_property
+    def _pattern(self):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        return ByteLevel(add_prefix_space=False, use_regex=True)
+
+    def words(self, text: str) -> list[str]:
+        """Words of any text, special tokens on their own."""
+        out, at = [], 0
+        for match in [*self.cut.finditer(text), None]:
+            part = text[at : match.start() if match else len(text)]
+            out += [part[a:b] for _, (a, b) in self._pattern.pre_tokenize_str(part)] if part else []
+            if match:
+                out.append(match[0])
+                at = match.end()
+        return out
+
+
 class Vocabulary:
     """A byte-level BPE tokenizer file: encode words, and the bytes of each id."""
 
@@ -58,7 +86,6 @@ class Vocabulary:
         if any(t.get(k) for t in special for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError("added tokens with stripping or normalisation are not supported")
         self.special = {t["content"]: t["id"] for t in special}
-        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.text = text
 
     @cached_property
@@ -95,26 +122,12 @@ class Vocabulary:
         ranks = {piece: i for i, piece in pieces.items()}
         return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def words(self, text: str) -> list[str]:
-        """Words of any text, special tokens on their own."""
-        out, at = [], 0
-        for match in [*self.cut.finditer(text), None]:
-            part = text[at : match.start() if match else len(text)]
-            out += [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)] if part else []
-            if match:
-                out.append(match[0])
-                at = match.end()
-        return out
-
     def encode(self, words: list[str]) -> list[list[int]]:
         quick = [self.fast is not None and (w.isascii() or max(w) < _SETTLED) and w not in self.special for w in words]
         slow = [w for w, q in zip(words, quick, strict=True) if not q]
         rest = iter([e.ids for e in self.tokenizer.encode_batch(slow, add_special_tokens=False)] if slow else [])
         return [self.fast.encode_ordinary(w) if q else next(rest) for w, q in zip(words, quick, strict=True)]
 
-    def odd_pattern(self) -> str:
-        return "|".join([_ODD, *(re.escape(c).replace("<", r"\x3c").replace(">", r"\x3e") for c in self.special)])
-
 
 def _visible_bytes() -> dict[str, int]:
     """The usual one-character names of bytes: printable Latin-1 is itself, the rest follows 255."""
@@ -154,10 +167,10 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def _numbered(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def _numbered(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of each text, the number of the word at each position, the distinct words."""
     texts = pc.fill_null(texts, "")
-    odd = pc.match_substring_regex(texts, vocabulary.odd_pattern())
+    odd = pc.match_substring_regex(texts, splitter.odd)
     has_odd = pc.any(odd).as_py()
     usual = pc.if_else(odd, "", texts) if has_odd else texts
     lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(usual, " ", "\0 "), "\n", "\0\n\0"), "\0")
@@ -165,7 +178,7 @@ def _numbered(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     words = lists.flatten()
     if has_odd:
         where = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        cut = [vocabulary.words(texts[int(i)].as_py()) for i in where]
+        cut = [splitter.words(texts[int(i)].as_py()) for i in where]
         starts = np.cumsum(counts) - counts
         words = pa.concat_arrays([words, pa.array([w for ws in cut for w in ws], words.type)])
         starts[where] = int(counts.sum()) + np.cumsum([0, *map(len, cut)])[:-1]
@@ -176,7 +189,7 @@ def _numbered(texts: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return counts.astype(np.uint32), coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary.to_pylist()
 
 
-def _blocks(vocabulary_text, names: list[str], text_col: str, buckets: int, kinds: tuple[int, ...]):
+def _blocks(special: tuple[str, ...], names: list[str], text_col: str, buckets: int, kinds: tuple[int, ...], block_bytes: int):
     """Arrow function: documents to the payload row (kind 0) and the rows of words (1) of each block.
 
     A block's number is a hash of its content, so both kinds can be made in separate runs.
@@ -185,15 +198,15 @@ def _blocks(vocabulary_text, names: list[str], text_col: str, buckets: int, kind
     def run(batches):
         import xxhash
 
-        vocabulary = _vocabulary(vocabulary_text.value)
-        for table in runs(batches, BLOCK_BYTES, text_col):
+        splitter = Splitter(special)
+        for table in runs(batches, block_bytes, text_col):
             texts = table.column(text_col).combine_chunks()
             carry = _ipc(table.select(names))
             body = xxhash.xxh64(carry)
             for buffer in pa.concat_arrays([texts]).buffers()[1:]:
                 body.update(buffer or b"")
             block = int(np.uint64(body.intdigest()).astype(np.int64))
-            counts, numbers, words = _numbered(texts, vocabulary)
+            counts, numbers, words = _numbered(texts, splitter)
             bucket = (_hashes(words) % np.uint64(buckets)).astype(np.uint32)
             rows = []
             if 0 in kinds:
@@ -276,7 +289,7 @@ def _join(schema: pa.Schema, finish: Callable | None):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store_blocks: bool = True, finish: Callable | None = None, finish_schema: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", store_blocks: bool = True, finish: Callable | None = None, finish_schema: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, ids_le): the ids of each whole text as little-endian unsigned 32-bit integers.
 
     ``tokenizer`` is the path of a byte-level BPE file of the tokenizers library. The ids
@@ -296,15 +309,15 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     prepare(spark)
     with open(tokenizer, encoding="utf-8") as file:
         text = file.read()
-    _vocabulary(text)  # fails here rather than in a task
+    special = tuple(_vocabulary(text).special)  # fails here rather than in a task
     shared = spark.sparkContext.broadcast(text)
-    buckets = BUCKETS_PER_PARTITION * partitions(spark)
+    buckets = min(BUCKETS_PER_PARTITION * partitions(spark), MAX_BUCKETS)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     if store_blocks:
-        blocks = materialise(rows.mapInArrow(tidy(_blocks(shared, ["_id"], "_text", buckets, (0, 1)), "bpe"), _BLOCK_DDL), "blocks")
+        blocks = materialise(rows.mapInArrow(tidy(_blocks(special, ["_id"], "_text", buckets, (0, 1), block_bytes), "bpe"), _BLOCK_DDL), "blocks")
         payload, words = blocks.where("kind = 0"), blocks.where("kind = 1")
     else:
-        payload, words = (rows.mapInArrow(tidy(_blocks(shared, ["_id"], "_text", buckets, (kind,)), "bpe"), _BLOCK_DDL) for kind in (0, 1))
+        payload, words = (rows.mapInArrow(tidy(_blocks(special, ["_id"], "_text", buckets, (kind,), block_bytes), "bpe"), _BLOCK_DDL) for kind in (0, 1))
     words = words.repartition("bucket").mapInArrow(tidy(_encoder(shared), "bpe"), _BLOCK_DDL)
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, ids_le binary"
     arrow = pa.schema([(f.name, f.type) for f in to_arrow_schema(rows.select("_id").schema)] + [("ids_le", pa.binary())])
