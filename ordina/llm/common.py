@@ -2,18 +2,21 @@
 
 Intermediate tables go as Parquet to the shared folder that the cluster names in
 ``spark.checkpoint.dir``: every executor can read them again after another one is lost, and
-they cut the lineage of iterative work.
+they cut the lineage of iterative work. Each call of an operator keeps them in a folder of its
+own (see ``owning``), so no call deletes what another one still reads.
 """
 
 from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
 import zipfile
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -23,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch between the JVM and Python. Texts can be very long; 512 of them fit.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch from the JVM to Python. Texts can be very long.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 #: White space as the text contracts define it.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -36,6 +39,7 @@ _SHIPPED: set[str] = set()
 def prepare(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session and ship this package to its Python workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parents[1]
@@ -50,7 +54,7 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for intermediate tables of this application."""
+    """The folder for intermediate tables of this application; it goes when the application ends."""
     context = spark.sparkContext
     app = context.applicationId
     if app not in _FOLDERS:
@@ -59,25 +63,61 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local") or context.master.startswith("local-cluster"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="ordina-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
         _FOLDERS[app] = f"{root.rstrip('/')}/ordina-{app}"
+        path, system = _on_disk(spark, _FOLDERS[app])
+        system.mkdirs(path)
+        system.deleteOnExit(path)
     return _FOLDERS[app]
 
 
+def _on_disk(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path, system = _on_disk(spark, folder)
+    system.delete(path, True)
+
+
+#: The folder of the operator call that is being planned.
+_CALL: ContextVar[str | None] = ContextVar("call", default=None)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path for one table of the running call."""
+    return f"{_CALL.get() or shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; this cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession, still_used: DataFrame | None = None) -> None:
-    """Delete this application's intermediate tables, unless ``still_used`` reads one of them."""
-    folder = shared_folder(spark)
-    if still_used is not None and any(folder in path for path in still_used.inputFiles()):
-        return
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def owning(label: str):
+    """For operators (of a DataFrame) with a small result: the tables that a call writes lie in a
+    folder of the call, and that folder is deleted once the result is written beside it."""
+
+    def wrap(operator):
+        @functools.wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            folder = new_folder(df.sparkSession, label)
+            before = _CALL.set(folder)
+            try:
+                planned = operator(df, *args, **options)
+                _CALL.reset(before)
+                return materialise(planned, f"{label}-result")
+            finally:
+                if _CALL.get() == folder:
+                    _CALL.reset(before)
+                delete(df.sparkSession, folder)
+
+        return run
+
+    return wrap
 
 
 _CACHES: dict[str, list] = {}
@@ -163,6 +203,41 @@ def held_out(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(text.cast("binary")), F.lit(3)) == 1
 
 
+def fresh(taken, *names: str) -> list[str]:
+    """``names`` with underscores added until none of them is a column in ``taken``."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def plain(name: str):
+    """The column of that very name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def ddl(fields) -> str:
+    """The schema string of some fields."""
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in fields)
+
+
+def within(rows: DataFrame, limit: int, size: str, order: str, always=None) -> pd.DataFrame:
+    """The first of the written ``rows`` by ``order`` whose ``size`` sums to ``limit`` at most, on the driver.
+
+    Rows where ``always`` holds come whatever their place. At least one row comes.
+    """
+    sizes = rows.select(F.col(order).alias("o"), F.col(size).alias("s")).toPandas().sort_values("o", kind="stable")
+    ends = sizes["s"].cumsum().to_numpy()
+    if len(ends) and ends[-1] > limit:
+        last = int(sizes["o"].iloc[max(0, int(np.searchsorted(ends, limit, side="right")) - 1)])
+        keep = F.col(order) <= last
+        rows = rows.where(keep if always is None else keep | always)
+    return rows.toPandas()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare
+from .common import materialise, owning, prepare
 from .components import connected_components
 
 #: Vectors that centroids are fitted on, wanted vectors of a cell, most cells, rounds of k-means.
@@ -147,6 +147,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([nodes[moved], nodes[label[moved]]], axis=1)
 
 
+@owning("vectors")
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept).
 

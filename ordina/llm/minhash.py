@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, column, materialise, prepare, rows_of
+from .common import begin, column, materialise, owning, prepare, rows_of
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
@@ -212,6 +212,7 @@ def _across(threshold: tuple[int, int]):
     return run
 
 
+@owning("minhash")
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, kept).
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import encode
-from .common import column, materialise, partitions
+from .common import column, materialise, owning, partitions
 
 #: Rate of multiplicative weights, and how much more a token of a piece of full length is worth
 #: (long pieces first: short ones fill what they leave).
@@ -242,6 +242,7 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     return ranked.mapInArrow(_placer(plan), schema)
 
 
+@owning("packing")
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset) of all whole documents.
 
