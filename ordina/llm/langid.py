@@ -4,7 +4,8 @@ Features are one to three letters in a row (lower case, a border before and afte
 ``FEATURES`` hash buckets: square root of the share times the inverse document frequency,
 scaled to length one. Document frequencies cover all rows that may be learned from. Weights come
 from FTRL with L1 and L2 penalties on about ``SAMPLE`` rows, spread evenly over all languages, and
-one row of each language whatever their number; a fifth of them is held back to fit the
+one row of each language whatever their number (of the former, those whose features sum to
+``SAMPLE_FEATURES`` at most); a fifth of them is held back to fit the
 temperature that divides the logits, but never a language's first row. Weights are kept without
 their zeros, and training keeps its state in a file once there are many languages.
 """
@@ -19,11 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, cache_of, held_out, learnable, prepare
+from .common import begin, cache_of, ddl, fresh, held_out, learnable, materialise, plain, prepare, within
 from .ftrl import SparseRows, softmax, temperature, train_multinomial
 
 #: Hash buckets, rows to train on (besides one of each language), passes, rates.
 FEATURES, SAMPLE, EPOCHS = 1 << 16, 6000, 3
+#: Most features (8 bytes each on the driver) of all rows to train on together.
+SAMPLE_FEATURES = 1 << 25
 RATES = {"alpha": 0.5, "beta": 1.0, "l1": 0.01, "l2": 0.5}
 #: Document frequencies travel in slices of so many numbers.
 SLICE = 2048
@@ -97,7 +100,10 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """The model of the rows that may be learned from and have a language."""
+    """The model of the rows that may be learned from and have a language.
+
+    Of rows that share an id and a language one is learned from.
+    """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.where("_lang IS NOT NULL").where(learnable("_id"))
@@ -114,13 +120,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not languages:
         return Model([], idf, SparseRows.of(np.zeros((FEATURES, 0))), 1.0)
     quota = max(1, SAMPLE // len(languages))
-    shares = docs.sparkSession.createDataFrame([(r["_lang"], min(1.0, 1.3 * quota / r["_n"])) for r in sizes], "_lang string, _share double")
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(r["_lang"], min(1.0, 1.3 * quota / r["_n"])) for r in sizes], "_lang string, _share double")
     drawn = rows.select("_id", "_lang", F.xxhash64("_id", F.lit(9)).alias("_order"))
     drawn = drawn.join(F.broadcast(shares), "_lang").where(F.pmod("_order", F.lit(1 << 20)) < F.col("_share") * (1 << 20))
-    drawn = drawn.select("_id", F.xxhash64("_id", F.lit(10)).alias("_order")).orderBy("_order", "_id").limit(SAMPLE + SAMPLE // 2)
-    firsts = docs.sparkSession.createDataFrame([(r["_first"]["_id"], r["_first"]["_order"]) for r in sizes if r["_first"] is not None], drawn.schema)
-    sample = rows.join(F.broadcast(drawn.unionByName(firsts).distinct()), "_id").select("_order", "_lang", "_text")
-    sample = sample.mapInPandas(_sparse, "_order bigint, _lang string, at binary, n binary").toPandas().sort_values(["_order", "at"], kind="stable")
+    drawn = drawn.select("_id", "_lang", F.xxhash64("_id", F.lit(10)).alias("_order")).distinct().orderBy("_order", "_id", "_lang").limit(SAMPLE + SAMPLE // 2)
+    firsts = spark.createDataFrame([(r["_first"]["_id"], r["_lang"], r["_first"]["_order"]) for r in sizes if r["_first"] is not None], drawn.schema)
+    drawn = drawn.withColumn("_always", F.lit(False)).unionByName(firsts.withColumn("_always", F.lit(True)))
+    drawn = drawn.groupBy("_id", "_lang", "_order").agg(F.bool_or("_always").alias("_always"))
+    sample = rows.join(F.broadcast(drawn), ["_id", "_lang"])
+    # One row of each id and language, if it can be one with a letter; then the smallest hash.
+    best = F.struct((~F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False))).alias("none"), F.xxhash64("_text").alias("hash"))
+    sample = sample.groupBy("_id", "_lang", "_order", "_always").agg(F.min_by("_text", best).alias("_text"))
+    sample = sample.select("_order", "_lang", "_always", "_text").mapInPandas(_sparse, "_order bigint, _lang string, _always boolean, at binary, n binary, size bigint")
+    sample = within(materialise(sample, "training"), SAMPLE_FEATURES, "size", "_order", F.col("_always")).sort_values(["_order", "at"], kind="stable")
 
     parsed, labels = [], []
     number = {name: i for i, name in enumerate(languages)}
@@ -147,26 +160,30 @@ def _sparse(batches):
             where = np.flatnonzero(c) if c is not None else np.zeros(0, np.int64)
             at.append(where.astype("<i4").tobytes())
             n.append(c[where].astype("<i4").tobytes() if c is not None else b"")
-        yield pd.DataFrame({"_order": batch["_order"], "_lang": batch["_lang"], "at": at, "n": n})
+        yield pd.DataFrame({"_order": batch["_order"], "_lang": batch["_lang"], "_always": batch["_always"], "at": at, "n": n, "size": [len(x) // 4 for x in at]})
 
 
-def _predictor(model):
+def _predictor(model, text: str, names: tuple[str, str]):
     def run(batches):
         begin("langid")
         for batch in batches:
-            found = [model.value.predict(t) for t in batch["_text"]]
-            yield batch.drop(columns="_text").assign(lang_pred=[x for x, _ in found], lang_score=[s for _, s in found])
+            found = [model.value.predict(t) for t in batch[text]]
+            yield batch.drop(columns=text).assign(**{names[0]: [x for x, _ in found], names[1]: [s for _, s in found]})
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` with (lang_pred, lang_score) of each whole text."""
+def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """Columns ``keep`` with the language and its probability, called ``names``, of each whole text.
+
+    No column of ``keep`` may have one of ``names``.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "lang_pred string, lang_score double"])
-    return rows.mapInPandas(_predictor(shared), schema)
+    (text,) = fresh([*keep, *names], "_text")
+    rows = docs.select(*map(plain, keep), plain(text_col).alias(text))
+    schema = f"{ddl(rows.schema[:-1])}, `{names[0]}` string, `{names[1]}` double"
+    return rows.mapInPandas(_predictor(shared, text, names), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -175,5 +192,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     A text that is null or has no letter is ``und`` with score 0, and so is every text if
     no row can be learned from. Null and repeated ids are carried; other columns are ignored.
     """
-    found = predict(docs, fit(docs, id_col, text_col, lang_col), [id_col], text_col)
-    return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    rows = docs.select(plain(id_col).alias("_id"), plain(text_col).alias("_text"))
+    found = predict(rows, fit(docs, id_col, text_col, lang_col), ["_id"], "_text")
+    return found.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

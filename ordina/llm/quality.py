@@ -7,7 +7,8 @@ repeats the one before it. Each kind's counts are turned to shares and their squ
 so a text's length has no weight. The score is the sparse dot product through the logistic
 function.
 
-Training takes at most ``SAMPLE`` labelled rows, drawn by a hash of the id; scoring covers all.
+Training takes at most ``SAMPLE`` labelled rows with at most ``SAMPLE_FEATURES`` features in all,
+in the order of a hash of the id; scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, cache_of, held_out, learnable, prepare
+from .common import begin, cache_of, ddl, fresh, held_out, learnable, materialise, plain, prepare, within
 from .ftrl import sigmoid, train_binary
 
 #: Hash buckets, most labelled rows to train on, passes over them, penalties and rates.
 FEATURES, SAMPLE, EPOCHS = 1 << 18, 6000, 5
+#: Most features (12 bytes each on the driver) of all rows to train on together.
+SAMPLE_FEATURES = 1 << 25
 RATES = {"alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.5}
 #: Characters of a word that have one shape; a longer word has the shapes of its pieces.
 PIECE = 64
@@ -99,46 +102,52 @@ def _featurise(batches):
     begin("quality")
     for batch in batches:
         rows = [features(t) for t in batch["_text"]]
-        yield pd.DataFrame({"_label": batch["_label"], "_order": batch["_order"], "at": [a.astype("<i4").tobytes() for a, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows]})
+        yield pd.DataFrame({"_label": batch["_label"], "_order": batch["_order"], "at": [a.astype("<i4").tobytes() for a, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows], "size": [len(a) for a, _ in rows]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
     """Weights from labelled rows that may be learned from; zeros if there are none.
 
     Rows with a null label or id are ignored; a document labelled both ways counts as 1 if at
-    least half of its labels are.
+    least half of its labels are. Of documents that share an id one is learned from.
     """
     prepare(docs.sparkSession)
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_label")).where("_id IS NOT NULL AND _label IS NOT NULL").where(learnable("_id"))
     marks = marks.groupBy("_id").agg((F.avg("_label") >= 0.5).cast("int").alias("_label"))
     sample = marks.select("_id", "_label", F.xxhash64("_id", F.lit(3)).alias("_order")).orderBy("_order", "_id").limit(SAMPLE)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(sample), "_id")
-    rows = texts.select("_label", "_order", "_text").mapInPandas(_featurise, "_label int, _order bigint, at binary, values binary").toPandas()
-    rows = rows.sort_values(["_order", "at"], kind="stable")
+    texts = docs.select(plain(id_col).alias("_id"), plain(text_col).alias("_text")).join(F.broadcast(sample), "_id")
+    # One row of each id, however many have it: the one whose text has the smallest hash.
+    texts = texts.groupBy("_id", "_label", "_order").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    rows = texts.select("_label", "_order", "_text").mapInPandas(_featurise, "_label int, _order bigint, at binary, values binary, size bigint")
+    rows = within(materialise(rows, "training"), SAMPLE_FEATURES, "size", "_order").sort_values(["_order", "at"], kind="stable")
     parsed = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(rows["at"], rows["values"], strict=True)]
     return train_binary(parsed, rows["_label"].to_numpy(float), FEATURES, EPOCHS, **RATES)
 
 
-def _scorer(weights):
+def _scorer(weights, text: str, names: tuple[str, str]):
     def run(batches):
         begin("quality")
         for batch in batches:
             scores = []
-            for text in batch["_text"]:
-                at, values = features(text)
+            for value in batch[text]:
+                at, values = features(value)
                 scores.append(float(sigmoid(values @ weights.value[at])))
-            yield batch.drop(columns="_text").assign(score=scores, predicted=np.array([s >= 0.5 for s in scores], np.int32))
+            yield batch.drop(columns=text).assign(**{names[0]: scores, names[1]: np.array([s >= 0.5 for s in scores], np.int32)})
 
     return run
 
 
-def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Columns ``keep`` with (score, predicted) of each whole text. Null is the empty text."""
+def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns ``keep`` with the score and the prediction, called ``names``, of each whole text.
+
+    Null is the empty text. No column of ``keep`` may have one of ``names``.
+    """
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float64))
-    rows = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text"), "score double, predicted int"])
-    return rows.mapInPandas(_scorer(shared), schema)
+    (text,) = fresh([*keep, *names], "_text")
+    rows = docs.select(*map(plain, keep), plain(text_col).alias(text))
+    schema = f"{ddl(rows.schema[:-1])}, `{names[0]}` double, `{names[1]}` int"
+    return rows.mapInPandas(_scorer(shared, text, names), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,5 +156,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Texts without words have the score of no evidence, 0.5, and so do all texts if there is
     nothing to learn from. Null and repeated ids are carried; other columns are ignored.
     """
-    scored = score(docs, fit(docs, labels, id_col, text_col), [id_col], text_col)
-    return scored.select(id_col, held_out(id_col).alias("held_out"), "score", "predicted")
+    rows = docs.select(plain(id_col).alias("_id"), plain(text_col).alias("_text"))
+    scored = score(rows, fit(docs, labels, id_col, text_col), ["_id"], "_text")
+    return scored.select(F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "score", "predicted")
