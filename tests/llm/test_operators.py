@@ -2,7 +2,9 @@
 
 import hashlib
 import html as entities
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -58,6 +60,20 @@ def test_html_blocks():
     assert html.main_text(html.blocks(page)) == "A & B\none twothree\nx < y z\nend ."
     assert html.main_text(html.blocks("<nav>open <article><p>in</article>")) == "in"
     assert html.blocks(None) == [] and html.main_text(html.blocks("plain")) is None
+    assert html.main_text(html.blocks("<aside><article>teaser</article></aside><article>Main</article>")) == "Main"
+    assert html.main_text(html.blocks("<form><article>all<form>in</form> b</article></form>")) == "all\nb"
+    assert html.main_text(html.blocks("<div class=content-with-sidebar><article>all</article></div><p>rest")) == "all"
+    hints = html.blocks("<article><h1 class='post-header'>T</h1><p class=share-price>P</p><div class=header-one>D</div><p class=notice>N</p><div class=comments>c</div><p>x <b class=share-price>5</b> y</p></article>")
+    assert hints == [("doubt", "T"), ("doubt", "P"), ("doubt", "D"), ("doubt", "N"), ("around", "c"), ("article", "x 5 y")]
+    assert html.unique_runs(hints, []) == "T\nP\nD\nN\nx 5 y"
+    assert html.blocks("<p title=it's>x</p><p title='a>b'>y</p>1 < 2") == [("open", "x"), ("open", "y"), ("open", "1 < 2")]
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a b=">" ', "<a b='", "</script", "<article>", "<main><article></main>", "<p class=ad>", "<form>", "<div class='x-ad'>", "<div class=ad><article>", "</article><div class=ad><main>", "<!-", "&amp", "a=' a=\" "])
+def test_html_of_a_megabyte(unit):
+    began = time.perf_counter()
+    html.blocks(unit * ((1 << 20) // len(unit)))
+    assert time.perf_counter() - began < 10
 
 
 def test_html_tables(spark):
@@ -81,6 +97,36 @@ def test_html_repeats_without_markup(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_hints_are_decided_by_repeats(spark):
+    share = " ".join(f"share{i}" for i in range(9))
+    rows = [(i, "http://h.org/", f"<article><p>text {i}</p><div class=share-box>{share}</div><p class=share-price>price{i} now</p></article>") for i in range(3)]
+    rows.append((None, None, f"<article>alone<div class=share-box>{share}</div></article>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"text {i}\nprice{i} now" for i in range(3)} | {None: f"alone\n{share}"}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_suffixes_meet_across_partitions(spark, parts):
+    """Repeated runs against a plain count, with classes that fill several range partitions."""
+    draw = random.Random(8)
+    tokens = [(h, p, [draw.choice(["a", "b", "x" * 50]) if h else "same" for _ in range(draw.randrange(5, 60))]) for h in range(3) for p in range(12)]
+    where = {}
+    for h, p, found in tokens:
+        for i in range(len(found) - html.RUN + 1):
+            where.setdefault((h, *found[i : i + html.RUN]), []).append((100 * h + p, i))
+    want = {x for places in where.values() if len({p for p, _ in places}) > 1 for x in places if x[0] % 2}
+    rows = [(str(h), prefix, 100 * h + p, i, p % 2 == 1) for h, p, found in tokens for i, prefix in enumerate(html.prefixes(found))]
+    suffixes = spark.createDataFrame([(a, bytearray(b), *c) for a, b, *c in rows], "host string, prefix binary, page long, position int, undecided boolean")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = [(r["page"], r["position"]) for r in html.repeated_starts(suffixes).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == len(set(got)) and set(got) == want
+    assert html.common_tokens(*html.prefixes("a b c d e f g h i".split())) == 0 and html.common_tokens(html.prefixes(list("abcdefgh"))[0], html.prefixes(list("abcdefgx"))[0]) == 7
+
+
 def test_bpe(spark):
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("doc_id + 1000 AS doc_id", "text", "lang", "source", "n_chars", "1L _id", "'' cid", "1 a", "true kept"))
     tokenizer = Tokenizer.from_file(TOKENIZER)
