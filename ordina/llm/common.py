@@ -168,28 +168,35 @@ def tidy(function, owner: str):
 FILTER_BITS = 1 << 25
 
 
-def rows_of(df: DataFrame, column_name: str, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose id (a long) is in the one column of ``ids``; few others are shuffled.
+def bitmap_of(ids: DataFrame):
+    """A test of columns: true for every long in the one column of ``ids`` and for few others.
 
-    A bitmap of hashed ids, of fixed size, drops most other rows before the exact semi-join. More
-    ids than bits only let more rows through to the join.
+    It looks into a bitmap of hashed ids, whose size is fixed; more ids than bits only let more
+    values through.
     """
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
-    name = ids.columns[0]
-    marked = ids.select(slot(F.col(name)).alias("slot")).select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("mask"))
+    marked = ids.select(slot(F.col(ids.columns[0])).alias("slot")).select(F.expr("slot div 64").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("mask"))
     words = marked.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()  # at most FILTER_BITS / 64 rows
     bitmap = np.zeros(FILTER_BITS // 64, "<i8")
     bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
-    marks = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    marks = ids.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     @F.pandas_udf("boolean")
     def is_marked(slots: pd.Series) -> pd.Series:
-        begin("rows_of")
+        begin("bitmap_of")
         at = slots.to_numpy()
         return pd.Series((np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1)
 
-    wanted = df.where(F.col(column_name).isNotNull()).where(is_marked(slot(F.col(column_name))))
-    return wanted.join(ids.select(F.col(name).alias(column_name)), column_name, "left_semi")
+    return lambda value: is_marked(slot(value))
+
+
+def rows_of(df: DataFrame, column_name: str, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose id (a long) is in the one column of ``ids``; few others are shuffled.
+
+    A bitmap drops most other rows before the exact semi-join.
+    """
+    wanted = df.where(F.col(column_name).isNotNull()).where(bitmap_of(ids)(F.col(column_name)))
+    return wanted.join(ids.select(F.col(ids.columns[0]).alias(column_name)), column_name, "left_semi")
 
 
 def learnable(doc_id: str = "doc_id"):

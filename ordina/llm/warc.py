@@ -1,29 +1,32 @@
 """WARC archives: write, read back, and merge their indexes.
 
-A record per page is built with SQL functions and written by Spark's text writer, whose line
-separator is the two line ends that close a WARC record; files are WARC 1.1, each compressed by
-gzip as one member, that any store Spark can write to holds. Offsets count uncompressed bytes.
-Reading parses whole files of at most ``FILE_RECORDS`` records.
+A record per page is built with SQL functions and compressed as a gzip member of its own, so that
+a reader can seek to it. A Python worker strings members together to files of at most
+``FILE_RECORDS`` records and about ``FILE_BYTES`` bytes, and Spark's text writer writes each of
+them to any store that Spark can write to. The writer ends a file with a separator: the last byte
+of a member, which is zero, is left out for it.
 
 The index of an archive, sorted by url key and time, is a run. Runs are range-partitioned by
-(url key, time, id); in each range a loser tree merges the parts of all runs, so the ranges in
-order are the capture history of every url.
+(url key, time, id, archive, offset) in ranges of about ``RANGE_ROWS`` rows. A shuffle hands on the
+rows of a run in order, so what arrives in a range is a few ascending stretches, which a loser
+tree merges. The ranges in order are the capture history of every url.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, materialise, partitions, prepare, shared_folder
+from .common import bitmap_of, column, delete, materialise, new_folder, partitions, plain, prepare
 
-#: Payloads shorter than this are never revisits. Records of a file.
-LEAST_REVISIT, FILE_RECORDS = 100, 1000
+#: Payloads shorter than this are never revisits. Most records and about the most bytes of a file.
+LEAST_REVISIT, FILE_RECORDS, FILE_BYTES = 100, 1000, 16 << 20
+#: Rows of the index that one task merges.
+RANGE_ROWS = 100_000
 END = "\r\n\r\n"
 _URN = "urn:x-page:"
 
@@ -31,14 +34,17 @@ _URN = "urn:x-page:"
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, html, digest, bytes, refers_to): ``refers_to`` is set for revisits.
 
-    Only payloads that occur under several ids join anything.
+    Only digests are shuffled, and the pages whose digest may occur under several ids.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    digest, size = F.sha2(F.col("html").cast("binary"), 256), F.octet_length("html").cast("long")
-    first = rows.select("id", digest.alias("digest"), size.alias("bytes")).where(F.col("bytes") >= LEAST_REVISIT)
+    rows = pages.select(plain(id_col).cast("long").alias("id"), plain(url_col).alias("url"), F.coalesce(plain(html_col), F.lit("")).alias("html"))
+    rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+    first = rows.select("id", "digest", "bytes").where(F.col("bytes") >= LEAST_REVISIT)
     first = first.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first != last").select("digest", "first")
-    rows = rows.select("*", digest.alias("digest"), size.alias("bytes")).join(first, "digest", "left")
-    return rows.select("id", "url", "html", "digest", "bytes", F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to"))
+    first = materialise(first, "repeats")
+    repeats = bitmap_of(first.select(F.xxhash64("digest")))(F.xxhash64("digest"))
+    refers_to = F.when(F.col("id") != F.col("first"), F.col("first")).alias("refers_to")
+    some = rows.where(repeats).join(first, "digest", "left").select("id", "url", "html", "digest", "bytes", refers_to)
+    return rows.where(~repeats).withColumn("refers_to", F.lit(None).cast("long")).unionByName(some)
 
 
 def _second(number):
@@ -73,26 +79,71 @@ def records(plan: DataFrame) -> DataFrame:
     return plan.withColumn("block", block).select(F.concat(header, F.col("block")).alias("record"))
 
 
+def member(record: bytes) -> bytes:
+    """The record as a gzip member, always of the same bytes."""
+    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+def _files(batches):
+    """Records to the content of files, without the last zero byte of each."""
+    held: list[bytes] = []
+
+    def file() -> pa.RecordBatch:
+        if held[-1][-1]:  # a member of a record of 16 MB or more can end so; one of nothing follows it
+            held.append(member(b""))
+        content = b"".join(held)[:-1]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["content"])
+
+    size = 0
+    for batch in batches:
+        for record in batch.column(0):
+            held.append(member(record.as_buffer().to_pybytes() + END.encode()))
+            size += len(held[-1])
+            if len(held) >= FILE_RECORDS or size >= FILE_BYTES:
+                yield file()
+                size = 0
+    if held:
+        yield file()
+
+
 def write_archives(pages: DataFrame, path: str, **names) -> None:
-    """Write a record per row of ``pages`` to WARC files in the folder ``path``."""
-    records(plan_records(pages, **names)).write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    """Write a record per row of ``pages`` to WARC files (gzip, a member each) in the folder ``path``."""
+    prepare(pages.sparkSession)
+    files = records(plan_records(pages, **names)).mapInArrow(_files, "content binary")
+    files.select(F.col("content").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def members(archive: bytes):
+    """(offset, content) of each gzip member of a file, one at a time."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        unpacker, out, end = zlib.decompressobj(31), [], at
+        while not unpacker.eof:
+            part = view[end : end + (1 << 16)]
+            if not part:
+                raise ValueError(f"the member at {at} is cut off")
+            out.append(unpacker.decompress(part))
+            end += len(part)
+        yield at, b"".join(out)
+        at = end - len(unpacker.unused_data)
 
 
 def parse(archive: bytes):
-    """(offset, header fields, block) of each record of a file."""
-    at = 0
-    while at < len(archive):
-        end = archive.index(b"\r\n\r\n", at)
-        version, *lines = archive[at:end].decode().split("\r\n")
+    """(offset, header fields, block) of each record of a file; the offset is that of its member."""
+    for at, record in members(archive):
+        if not record:
+            continue
+        end = record.index(b"\r\n\r\n")
+        version, *lines = record[:end].decode().split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         fields = {name.lower(): value.strip() for name, _, value in (x.partition(":") for x in lines)}
-        start = end + 4
-        stop = start + int(fields["content-length"])
-        if archive[stop : stop + 4] != b"\r\n\r\n":
+        stop = end + 4 + int(fields["content-length"])
+        if record[stop:] != b"\r\n\r\n":
             raise ValueError(f"the record at {at} does not end where it says")
-        yield at, fields, archive[start:stop]
-        at = stop + 4
+        yield at, fields, record[end + 4 : stop]
 
 
 def url_key(url: str) -> str:
@@ -116,10 +167,9 @@ def _index_files(batches):
     types = dict(bigint=pa.int64(), string=pa.string(), boolean=pa.bool_())
     schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in _INDEX.split(", ")])
     for batch in batches:
-        rows: list[tuple] = []
         for path, content in zip(column(batch, "path").to_pylist(), column(batch, "content"), strict=True):
             own = []
-            for offset, fields, block in parse(gzip.decompress(content.as_py())):
+            for offset, fields, block in parse(content.as_py()):
                 head, _, payload = block.partition(b"\r\n\r\n")
                 size = int(head.lower().rpartition(b"content-length:")[2])
                 digest = fields["warc-payload-digest"].removeprefix("sha256:")
@@ -128,8 +178,14 @@ def _index_files(batches):
                     raise ValueError(f"{path}: the payload at {offset} is not the one that was written")
                 url = fields.get("warc-target-uri")
                 own.append((_number(fields["warc-record-id"]), url, url_key(url or ""), fields["warc-date"], kind, digest, size, _number(fields.get("warc-refers-to")), path.rsplit("/", 1)[-1], offset, kind == "response"))
-            rows += sorted(own, key=lambda r: (r[2], r[3], r[0] is None, r[0] or 0, r[9]))
-        yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}, schema=schema)
+            own.sort(key=_capture_order)
+            if own:
+                yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*own, strict=True), strict=True)), schema=schema)
+
+
+def _capture_order(row: tuple) -> tuple:
+    """Url key, time, id (null first), archive and offset of an index row."""
+    return row[2].encode("utf-8", "surrogatepass"), row[3], row[0] is not None, row[0] or 0, row[8], row[9]
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -171,40 +227,43 @@ class LoserTree:
             self.winner = run
 
 
+def stretches(keys: list) -> list[list[int]]:
+    """Numbers of the keys, cut where a key is smaller than the one before."""
+    cuts = [i for i in range(1, len(keys)) if keys[i] < keys[i - 1]]
+    return [list(range(a, b)) for a, b in zip([0, *cuts], [*cuts, len(keys)])] if keys else []
+
+
 def _merge_range(batches):
-    tables = [pa.Table.from_batches([b]) for b in batches]
-    if not tables:
+    held = [pa.Table.from_batches([b]) for b in batches]
+    if not held:
         return
-    table = pa.concat_tables(tables).combine_chunks()
-    archives = column(table, "archive").to_pylist()
-    columns = [column(table, n).to_pylist() for n in ("url_key", "captured", "id", "archive", "offset")]
-    runs: dict[str, list[int]] = {}
-    for i, archive in enumerate(archives):
-        runs.setdefault(archive, []).append(i)
-    keys, times, ids, files, offsets = columns
-    key = lambda i: (keys[i], times[i], ids[i] is not None, ids[i] or 0, files[i], offsets[i])
-    yield from table.take(pa.array(list(LoserTree(list(runs.values()), key)), pa.int64())).to_batches()
+    table = pa.concat_tables(held).combine_chunks()
+    keys, times, ids, archives, offsets = (column(table, n).to_pylist() for n in ("url_key", "captured", "id", "archive", "offset"))
+    order = [(k.encode("utf-8", "surrogatepass"), t, i is not None, i or 0, a, o) for k, t, i, a, o in zip(keys, times, ids, archives, offsets, strict=True)]
+    merged = list(LoserTree(stretches(order), order.__getitem__))
+    yield from table.take(pa.array(merged, pa.int64())).to_batches()
 
 
 def merge_index(index: DataFrame) -> DataFrame:
-    """``index`` in global order of (url_key, captured, id): range by range, merged from runs."""
+    """The written ``index`` in global order of (url_key, captured, id): range by range, merged from runs."""
     prepare(index.sparkSession)
-    order = ["url_key", "captured", "id", "archive", "offset"]
-    ranged = index.repartitionByRange(partitions(index.sparkSession), *order).sortWithinPartitions("archive", *order)
-    return ranged.mapInArrow(_merge_range, _INDEX)
+    ranges = max(partitions(index.sparkSession), -(-index.count() // RANGE_ROWS))
+    return index.repartitionByRange(ranges, "url_key", "captured", "id", "archive", "offset").mapInArrow(_merge_range, _INDEX)
 
 
-def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None) -> DataFrame:
     """Write, read back and merge. One row per input row in global capture order.
 
     (id, payload_bytes, payload_digest, record_type, refers_to, url_key, captured, archive,
     offset). Null html is the empty payload. Of equal payloads of ``LEAST_REVISIT`` bytes or
     more the smallest id is the response; rows that share that id are all responses. A null
     id is never revisited; a null url has no target and the key ``)/``. Other columns are
-    ignored.
+    ignored. The archives stay in the new folder ``path``; without one they go in the end.
     """
     spark = pages.sparkSession
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(pages, path, id_col=id_col, url_col=url_col, html_col=html_col)
-    merged = merge_index(materialise(read_index(spark, path), "index"))
-    return merged.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset")
+    folder = path or new_folder(spark, "warc")
+    write_archives(pages, folder, id_col=id_col, url_col=url_col, html_col=html_col)
+    index = materialise(read_index(spark, folder), "index")
+    if not path:
+        delete(spark, folder)
+    return merge_index(index).select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset")

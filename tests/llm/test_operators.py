@@ -1,7 +1,9 @@
 """Operators against plain versions on small fixtures with nulls, empties, ties and odd columns."""
 
+import gzip
 import hashlib
 import html as entities
+import io
 import random
 import re
 import time
@@ -10,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -242,6 +245,33 @@ def test_warc(spark):
     assert got == sorted(want)
 
 
+def test_warc_members_and_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    draw = random.Random(3)
+    rows = [(None if i % 50 == 7 else i % 280, None if i % 41 == 3 else f"http://{draw.choice('ab')}.org/{draw.choice('Aéz')}", "x" * (i % 3) if i % 5 else "<p>" * 50) for i in range(300)]
+    schema = "page_id long, url string, html string"
+    frame = spark.createDataFrame(rows, schema).repartition(6)
+    found = warc.archive_round_trip(frame, path=f"{tmp_path}/archives").collect()
+    order = [(r["url_key"].encode(), r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["archive"], r["offset"]) for r in found]
+    assert order == sorted(order) and sorted(str(r["page_id"]) for r in found) == sorted(str(i) for i, _, _ in rows)
+    assert {r["record_type"] for r in found if r["page_id"] is None} == {"response"}
+    for r in found[::17]:  # a reader can seek to a record
+        data = (tmp_path / "archives" / r["archive"]).read_bytes()
+        record = gzip.GzipFile(fileobj=io.BytesIO(data[r["offset"] :])).read().decode()
+        assert record.startswith("WARC/1.1\r\n") and f"sha256:{r['payload_digest']}" in record.split("\r\n\r\n")[0]
+        gzip.decompress(data)
+    assert warc.archive_round_trip(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_warc_files_are_bounded():
+    long = random.Random(4).randbytes(1 << 24)  # its member ends in another byte than zero
+    files = list(warc._files([pa.record_batch([pa.array([long, b"a"] + [b"b"] * 2500, pa.binary())], ["record"])]))
+    files = [f.column(0)[0].as_py() + b"\0" for f in files]
+    assert len(files) == 4 and b"".join(gzip.decompress(f) for f in files) == b"".join(x + b"\r\n\r\n" for x in [long, b"a"] + [b"b"] * 2500)
+    assert max(sum(1 for _ in warc.members(f)) for f in files) <= warc.FILE_RECORDS
+    assert warc.stretches([]) == [] and warc.stretches([1, 1, 3, 2, 5, 0]) == [[0, 1, 2], [3, 4], [5]]
+
+
 def test_loser_tree():
     draw = np.random.default_rng(1)
     for k in (0, 1, 2, 3, 7):
