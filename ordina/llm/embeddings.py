@@ -1,12 +1,14 @@
 """Near duplicates among vectors: spherical k-means cells and blocked cosine products.
 
-Centroids are fitted on a bounded sample; every vector is indexed. A vector is at home in the
-cell of its nearest centroid and a guest in the cells whose border is near: with the threshold
-angle ``t``, a neighbour of ``y`` can be at home in cell ``c`` only if
-``y.(h - c) <= tan(t) * |h - c|`` (``h``: the centroid of ``y``'s home), and a vector is a guest
-where that holds with ``MARGIN`` times the right side. ``MARGIN = 1`` loses no link at all;
-smaller margins give fewer guests at a measured loss. Both vectors of a link fulfil this for the
-other's cell, so of two cells only one receives guests from the other, and each pair meets once.
+Vectors of each length have cells of their own. Centroids are fitted on a bounded sample; every
+vector is indexed. A vector is at home in the cell of its nearest centroid and a guest in the
+cells whose border is near: with the threshold angle ``t``, a neighbour of ``y`` can be at home in
+cell ``c`` only if ``y.(h - c) <= tan(t) * |h - c|`` (``h``: the centroid of ``y``'s home), and a
+vector is a guest where that holds with a margin of the right side. A margin of 1 loses no link at
+all. A neighbour lies beside ``y`` in any of the directions, and of all ``d`` of them the one
+towards the border takes about ``1 / sqrt(d)``; so the margin is ``SPREADS`` times that, and 1 for
+short vectors. Both vectors of a link fulfil this for the other's cell, so of two cells only one
+receives guests from the other, and each pair meets once.
 
 Cells are cut into blocks. A task multiplies two blocks, a slice at a time, and returns, for each
 vector, the number of its links and the links of a spanning forest of what it found; pairs are
@@ -20,13 +22,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, owning, prepare
+from .common import materialise, owning, plain, prepare
 from .components import connected_components
 
-#: Vectors that centroids are fitted on, wanted vectors of a cell, most cells, rounds of k-means.
-SAMPLE, CELL, MAX_CELLS, FIT_ROUNDS = 20_000, 1024, 4096, 8
-#: Share of the exact border width inside which a vector is a guest; see the module's text.
-MARGIN = 0.6
+#: Vectors that the centroids of a length are fitted on, wanted vectors of a cell, most cells,
+#: rounds of k-means; most numbers of such a sample, and of the centroids of a length.
+SAMPLE, CELL, MAX_CELLS, FIT_ROUNDS, SAMPLE_NUMBERS, CENTROID_NUMBERS = 20_000, 1024, 4096, 8, 1 << 23, 1 << 21
+#: Standard deviations of a neighbour's place that the margin covers; see the module's text.
+SPREADS = 4.8
 #: Vectors of a block, and of a slice of it. A row is copied once for each block that it meets.
 BLOCK, SLICE = 2048, 256
 
@@ -74,21 +77,31 @@ def _receives(cell: np.ndarray, other: np.ndarray) -> np.ndarray:
     return (cell != other) & ((cell < other) ^ ((cell + other) % 2 == 1))
 
 
-def _assigner(centroids, threshold: float, margin: float):
-    reach = margin * np.sqrt(1 - threshold**2) / threshold
+def margin_of(width: int) -> float:
+    """Share of the exact border width inside which vectors of so many components are guests."""
+    return min(1.0, SPREADS / width**0.5)
+
+
+def _assigner(index, threshold: float, margin: float | None):
+    """``index``: for each length of vectors the number of its first cell, and its centroids if it has several."""
 
     def run(batches):
-        points = centroids.value
-        gaps = np.sqrt(np.maximum(0.0, 2 - 2 * points @ points.T))
         for batch in batches:
-            if not len(batch):
-                continue
-            near = _matrix(batch["unit"]) @ points.T
-            home = near.argmax(axis=1)
-            best = near[np.arange(len(near)), home][:, None]
-            inside = best - near <= reach * gaps[home]
-            inside &= _receives(np.arange(len(points)), home[:, None])
-            yield batch.assign(home=home.astype(np.int32), guest=[np.flatnonzero(x).astype(np.int32) for x in inside])
+            widths = batch["unit"].str.len() // 8
+            for width in sorted(set(widths)):
+                own = batch[widths == width]
+                first, points = index.value[width]
+                if points is None:
+                    yield own.assign(home=np.full(len(own), first, np.int32), guest=[np.zeros(0, np.int32)] * len(own))
+                    continue
+                reach = (margin_of(width) if margin is None else margin) * np.sqrt(1 - threshold**2) / threshold
+                near = _matrix(own["unit"]) @ points.T
+                home = near.argmax(axis=1)
+                best = near[np.arange(len(near)), home][:, None]
+                gaps = np.sqrt(np.maximum(0.0, 2 - 2 * points[home] @ points.T))
+                inside = best - near <= reach * gaps
+                inside &= _receives(np.arange(len(points)), home[:, None])
+                yield own.assign(home=(first + home).astype(np.int32), guest=[(first + np.flatnonzero(x)).astype(np.int32) for x in inside])
 
     return run
 
@@ -148,31 +161,24 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 @owning("vectors")
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float | None = None, cell: int = CELL, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: (id, n_links, component_id, kept).
 
-    Two vectors are linked when their cosine in double precision is at least ``threshold``.
-    Vectors that are null, empty, zero or hold null or non-finite components link with
-    nothing. ``n_links`` counts the other vectors linked directly, ``component_id`` is the
-    smallest id reachable, itself included; the vector of that id is kept. Equal vectors are
-    compared once and counted as often as they occur. Rows that share an id are one vector with
-    several values. Null ids link with nothing. All vectors that link must have the same number
-    of components; vectors of another length than the most frequent one are compared with
-    none. Other columns are ignored.
+    Two vectors of the same number of components are linked when their cosine in double
+    precision is at least ``threshold``. Vectors that are null, empty, zero or hold null or
+    non-finite components link with nothing. ``n_links`` counts the other vectors linked directly,
+    ``component_id`` is the smallest id reachable, itself included; the vector of that id is kept.
+    Equal vectors are compared once and counted as often as they occur. Rows that share an id are
+    one vector with several values. Null ids link with nothing. Other columns are ignored.
+    ``margin=1`` finds every link; without one it follows the number of components (``margin_of``).
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_vector"))
+    rows = vectors.select(plain(id_col).cast("long").alias("_id"), plain(vector_col).alias("_vector"))
     units = materialise(rows.mapInPandas(_units, "_id bigint, unit binary"), "units")
-    sizes = units.where("_id IS NOT NULL AND unit IS NOT NULL").groupBy(F.length("unit").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
-    width = sizes["width"] if sizes else 0
-    valid = units.where(f"_id IS NOT NULL AND length(unit) = {width} AND {width} > 0")
+    valid = units.where("_id IS NOT NULL AND unit IS NOT NULL")
     classes = materialise(valid.groupBy("unit").agg(F.min("_id").alias("cid"), F.count(F.lit(1)).alias("size")), "vectors")
-    total = classes.count()
-    if total:
-        found = materialise(_links(classes, total, threshold, margin, cell, block), "links")
-    else:
-        found = spark.createDataFrame([], "a bigint, b bigint, n bigint")
+    found = materialise(_links(classes, threshold, margin, cell, block), "links")
 
     counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("others"))
     members = valid.join(classes, "unit").select("_id", "cid", "size")
@@ -184,15 +190,27 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, margin: float = MA
     return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(classes: DataFrame, total: int, threshold: float, margin: float, wanted: int, most: int) -> DataFrame:
+def _index(classes: DataFrame, wanted: int) -> dict:
+    """For each length of vectors the number of its first cell, and its centroids if it has several."""
+    index, cells = {}, 0
+    for row in classes.groupBy((F.length("unit") / 8).cast("int").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect():
+        width, points = row["width"], None
+        several = min(MAX_CELLS, max(1, CENTROID_NUMBERS // width), row["n"] // wanted)
+        if several > 1:
+            most = max(several, min(SAMPLE, SAMPLE_NUMBERS // width))
+            drawn = classes.where(F.length("unit") == 8 * width).orderBy(F.xxhash64("unit"), "cid").limit(most).select("unit").toPandas()
+            points = fit_centroids(_matrix(drawn["unit"]), several)
+        index[width] = cells, points
+        cells += 1 if points is None else len(points)
+    return index
+
+
+def _links(classes: DataFrame, threshold: float, margin: float | None, wanted: int, most: int) -> DataFrame:
     """(a, null, links of a) and (a, b, 0) rows of the spanning forests."""
-    spark = classes.sparkSession
-    drawn = classes.orderBy(F.xxhash64("unit"), "cid").limit(SAMPLE).select("unit").toPandas()
-    centroids = fit_centroids(_matrix(drawn["unit"]), max(1, min(MAX_CELLS, total // wanted)))
-    shared = spark.sparkContext.broadcast(centroids)
+    shared = classes.sparkSession.sparkContext.broadcast(_index(classes, wanted))
     placed = classes.mapInPandas(_assigner(shared, threshold, margin), "unit binary, cid bigint, size bigint, home int, guest array<int>")
     placed = materialise(placed, "placed")
-    # At most MAX_CELLS rows: the number of blocks of each cell.
+    # A row for each cell (at most MAX_CELLS of each length): the number of its blocks.
     blocks = placed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("cid", "unit"), F.col("blocks")).cast("int")
     columns = ["unit", "cid", "size"]

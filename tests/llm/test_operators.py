@@ -297,12 +297,35 @@ def test_embeddings(spark):
     linked = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
     label = classes(len(unit), np.argwhere(linked).tolist())
     want = {i: (int(linked[i].sum()), label[i], label[i] == i) for i in range(len(unit))} | {i: (0, i, True) for i in range(1000, 1006)}
-    for cell, block in ((embeddings.CELL, embeddings.BLOCK), (12, 5), (40, 16)):
-        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, margin=1.0, cell=cell, block=block).collect()}
+    # Vectors of another length have cells of their own: a pair of two components, ten of one direction with five.
+    other = [(2000, [2.0, 4.0], 0)] + [(2010 + i, [float(x) * (i + 1) for x in (1, 2, 3, 4, 5)], 0) for i in range(10)]
+    df = df.unionByName(spark.createDataFrame(other, df.schema))
+    want |= {1005: (1, 1005, True), 2000: (1, 1005, False)} | {2010 + i: (9, 2010, i == 0) for i in range(10)}
+    for margin, cell, block in ((1.0, embeddings.CELL, embeddings.BLOCK), (None, 12, 5), (1.0, 40, 16)):
+        got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(df, margin=margin, cell=cell, block=block).collect()}
         assert got == want
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("width", "least"), [(16, 1.0), (64, 0.999), (200, 0.999)])
+def test_embeddings_recall_with_the_shipped_margin(spark, width, least):
+    """Links just above the threshold, in many cells, against brute force."""
+    draw = np.random.default_rng(width)
+    base = draw.normal(size=(600, width))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    beside = draw.normal(size=base.shape)
+    beside -= (beside * base).sum(axis=1)[:, None] * base
+    beside /= np.linalg.norm(beside, axis=1)[:, None]
+    cosine = draw.uniform(0.951, 0.97, 600)[:, None]
+    matrix = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * beside])
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    brute = int(((matrix @ matrix.T) >= 0.95).sum()) - len(matrix)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    found = embeddings.near_vectors(df, cell=20, block=16).collect()
+    assert len(found) == len(matrix) and brute >= 1200
+    assert least * brute <= sum(r["n_links"] for r in found) <= brute
+
+
 @pytest.mark.parametrize(("words", "threshold"), [(3, (85, 100)), (5, (80, 100))])
 def test_minhash(spark, words, threshold):
     draw = np.random.default_rng(3)
