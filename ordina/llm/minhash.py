@@ -8,8 +8,9 @@ bands of ``ROWS`` universal-hash minima give the buckets. Links are found in pas
   then, in buckets of more than ``BLOCK`` members, one drawn by hash) and join what they
   confirm to components;
 * the last pass compares, in buckets whose members are still in several components, every
-  pair across components, in blocks: members outside the bucket's largest component go to
-  all blocks of it. There a set is written as its difference from the set of that component's
+  pair across components, in blocks of about ``BLOCK`` members: those of the bucket's largest
+  component with all others, and the others among themselves. A pair that shares several buckets
+  is compared in that of its first common band. A set is written as its difference from the set of that component's
   smallest document: which of its shingles are missing, and which others it has (without those
   that no other member has, which no pair can share). Sizes of intersections follow exactly
   from the differences, so only links leave a block.
@@ -30,15 +31,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, column, materialise, owning, prepare, rows_of
+from .common import begin, column, materialise, owning, plain, prepare, rows_of
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
 BANDS, ROWS = 28, 5
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped.
 SLACK = 4.5
-#: Passes against one pivot, and members of a block in the last pass.
-STAR_PASSES, BLOCK = 2, 128
+#: Members of a block in the last pass, and bytes of difference bits that it unpacks at a time.
+BLOCK, CHUNK = 128, 8192
 
 _GENERATOR = np.random.default_rng(20240229)
 _A = _GENERATOR.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,7 +175,7 @@ def _elements(batches):
 
 
 def _differences(batches):
-    """Sets as missing shingles of the reference set (bits) and others that some other set has."""
+    """Sets as missing shingles of the reference set (bits) and others that some other set has; with all bucket keys."""
     for batch in batches:
         missing, extra = [], []
         for own, reference, alone in zip(*(column(batch, n).to_pylist() for n in ("shingles", "reference", "alone")), strict=True):
@@ -182,31 +183,44 @@ def _differences(batches):
             missing.append(np.packbits(~np.isin(t, s, assume_unique=True)).tobytes())
             others = np.setdiff1d(s, t, assume_unique=True)
             extra.append(np.setdiff1d(others, np.array(alone or [], np.int64).view(np.uint64)).tobytes())
-        yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in ("cid", "major", "n_shingles")), pa.array(missing, pa.binary()), pa.array(extra, pa.binary())], ["cid", "major", "n_shingles", "missing", "extra"])
+        keys = band_keys(np.frombuffer(b"".join(column(batch, "signature").to_pylist()), "<u2").reshape(-1, BANDS * ROWS))
+        arrays = [*(column(batch, n) for n in ("cid", "major", "n_shingles", "n_reference")), *(pa.array(x, pa.binary()) for x in (missing, extra, [k.tobytes() for k in keys]))]
+        yield pa.RecordBatch.from_arrays(arrays, ["cid", "major", "n_shingles", "n_reference", "missing", "extra", "bands"])
+
+
+def _both_missing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits are set in both, for all rows of two arrays of packed bits."""
+    out = np.zeros((len(x), len(y)), np.int64)
+    for at in range(0, x.shape[1], CHUNK):
+        p, q = (np.unpackbits(z[:, at : at + CHUNK], axis=1).astype(np.float32) for z in (x, y))
+        out += (p @ q.T).astype(np.int64)  # exact below 2^24 bits
+    return out
 
 
 def _across(threshold: tuple[int, int]):
-    """Grouped function: links between a block's members (home) and the bucket's outsiders."""
+    """Grouped function: links between different components in two blocks of a bucket."""
     top, bottom = threshold
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        guests, homes = rows[rows["guest"]], rows[~rows["guest"]]
         out = [np.zeros((0, 2), np.int64)]
-        if len(guests) and len(homes):
-            comp, ids, n = (homes[c].to_numpy() for c in ("comp", "cid", "n_shingles"))
-            bits = np.unpackbits(np.frombuffer(b"".join(homes["missing"]), np.uint8).reshape(len(homes), -1), axis=1).astype(np.float32)
-            extras = [np.frombuffer(e, np.uint64) for e in homes["extra"]]
-            size = np.array([*map(len, extras)])
-            lost = bits.sum(axis=1)
-            for cid, c, m, missing, extra, t in zip(*(guests[x] for x in ("cid", "comp", "n_shingles", "missing", "extra", "n_reference")), strict=True):
-                own = np.unpackbits(np.frombuffer(missing, np.uint8)).astype(np.float32)
-                mine = np.frombuffer(extra, np.uint64)
-                inside = t - (lost + own.sum() - bits @ own).astype(np.int64)
-                most = inside + np.minimum(size, len(mine))
-                for i in np.flatnonzero((comp != c) & (bottom * most >= top * (n + m - most))):
-                    shared = inside[i] + len(np.intersect1d(extras[i], mine, assume_unique=True))
-                    if bottom * shared >= top * (n[i] + m - shared):
-                        out.append(np.array([[min(ids[i], cid), max(ids[i], cid)]], np.int64))
+        same = len(rows) and rows["i"].iloc[0] == rows["j"].iloc[0]
+        first = rows[rows["side"] == 0]
+        second = first if same else rows[rows["side"] == 1]
+        if len(first) and len(second):
+            comp, ids, n, extras, packed, bands = zip(*((x["comp"].to_numpy(), x["cid"].to_numpy(), x["n_shingles"].to_numpy(), [np.frombuffer(e, np.uint64) for e in x["extra"]], np.frombuffer(b"".join(x["missing"]), np.uint8).reshape(len(x), -1), np.frombuffer(b"".join(x["bands"]), np.int64).reshape(len(x), -1)) for x in (first, second)), strict=True)
+            wanted = comp[0][:, None] != comp[1][None]
+            if same:
+                wanted &= np.triu(np.ones(wanted.shape, bool), 1)
+            common = bands[0][:, None] == bands[1][None]
+            wanted &= common.any(axis=2) & (np.take_along_axis(bands[0], common.argmax(axis=2), axis=1) == rows["key"].iloc[0])
+            lost, size = zip(*((np.bitwise_count(p).sum(axis=1, dtype=np.int64), np.array([*map(len, e)])) for p, e in zip(packed, extras, strict=True)), strict=True)
+            inside = int(first["n_reference"].iloc[0]) - lost[0][:, None] - lost[1][None] + _both_missing(*packed)
+            most = inside + np.minimum(size[0][:, None], size[1][None])
+            total = n[0][:, None] + n[1][None]
+            for i, j in np.argwhere(wanted & (bottom * most >= top * (total - most))):
+                shared = inside[i, j] + len(np.intersect1d(extras[0][i], extras[1][j], assume_unique=True))
+                if bottom * shared >= top * (total[i, j] - shared):
+                    out.append(np.sort([[ids[0][i], ids[1][j]]], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return run
@@ -224,37 +238,34 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     nothing, has a null component and is kept. Other columns are ignored.
     """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(plain(id_col).cast("long").alias("_id"), plain(text_col).alias("_text"))
     schema = "_id bigint, n_shingles bigint, print binary, signature binary"
     features = materialise(rows.mapInArrow(_features(shingle_words), schema), "features")
 
     known = features.where("_id IS NOT NULL AND n_shingles > 0")
-    # Written, so that the join below can split a large class.
-    classes = materialise(known.groupBy("print").agg(F.min("_id").alias("cid")), "classes")
-    members = known.select("_id", "print").join(classes, "print").distinct()
-    members = materialise(members, "members")
-    # By id and print, over which a large class is spread.
-    firsts = members.where("_id = cid").select("_id", "print")
-    leaders = known.join(firsts, ["_id", "print"], "left_semi").dropDuplicates(["_id", "print"])
-    leaders = materialise(leaders.select(F.col("_id").alias("cid"), "signature"), "leaders")
-    buckets = materialise(leaders.mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    buckets = materialise(buckets.join(shared.select("key"), "key", "left_semi"), "shared")
-
+    # A row for each set; an id that comes with several texts can lead several of them.
+    classes = materialise(known.groupBy("print").agg(F.min("_id").alias("cid"), F.first("signature").alias("signature")), "classes")
     # Members of a class that carry another id than their class are linked by their equal sets.
+    members = known.select("_id", "print").join(classes.select("print", "cid"), "print")
     links = members.where("_id != cid").select(F.col("_id").alias("a"), F.col("cid").alias("b"))
-    check = _Checker(rows, leaders, shingle_words, threshold)
-    components = None
-    for turn in range(STAR_PASSES):
-        pairs = materialise(_star_pairs(buckets, components, turn), "candidates")
-        if turn and pairs.isEmpty():
-            break
-        found = check(pairs)
-        links = links.unionByName(found)
-        components = materialise(connected_components(links), "components")
-    found = check.across(_mixed(buckets, components))
-    links = found.unionByName(components.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    components = connected_components(links)
+
+    buckets = materialise(classes.mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
+    # Keys are written before they are joined, so that the join can split a large bucket.
+    keys = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1"), "keys")
+    buckets = materialise(buckets.join(keys, "key"), "shared")
+
+    check = _Checker(rows, classes, shingle_words, threshold)
+    found = check(buckets.where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
+    components = materialise(connected_components(links.unionByName(found)), "components")
+    mixed = _mixed(buckets, components)
+    # Buckets of one block are left to the last pass, which compares every pair in them.
+    others = mixed.where((F.col("n") > BLOCK) & (F.col("comp") != F.col("pivot_comp")))
+    if not others.isEmpty():
+        found = check(others.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct())
+        components = materialise(connected_components(_edges(components).unionByName(found)), "components")
+        mixed = _mixed(mixed, components)
+    if not mixed.isEmpty():
+        components = connected_components(_edges(components).unionByName(check.across(mixed)))
 
     out = features.select("_id", "n_shingles").join(components, F.col("_id") == F.col("node"), "left")
     component = F.coalesce("component", "_id")
@@ -269,8 +280,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
 class _Checker:
     """Signature check, then confirmation on the full sets of whole texts."""
 
-    def __init__(self, rows: DataFrame, leaders: DataFrame, words: int, threshold: tuple[int, int]):
-        self.rows, self.leaders, self.words, self.threshold = rows, leaders, words, threshold
+    def __init__(self, rows: DataFrame, classes: DataFrame, words: int, threshold: tuple[int, int]):
+        self.rows, self.classes, self.words, self.threshold = rows, classes, words, threshold
 
     def _with(self, pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
         for side in "ab":
@@ -278,7 +289,7 @@ class _Checker:
         return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        likely = self._with(pairs, self.leaders, "signature").mapInArrow(_likely(_floor(self.threshold)), "a bigint, b bigint")
+        likely = self._with(pairs, self.classes, "signature").mapInArrow(_likely(_floor(self.threshold)), "a bigint, b bigint")
         return self.confirm(materialise(likely.distinct(), "likely"))
 
     def _texts(self, ids: DataFrame) -> DataFrame:
@@ -287,13 +298,15 @@ class _Checker:
     def confirm(self, pairs: DataFrame) -> DataFrame:
         texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
         confirmed = self._with(pairs, texts, "text").mapInArrow(_confirm(self.words, self.threshold), "a bigint, b bigint")
-        return materialise(confirmed.distinct(), "confirmed")
+        return confirmed.distinct()
 
     def across(self, rows: DataFrame) -> DataFrame:
         """(a, b), a < b: links across components of every bucket in ``rows``."""
         sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size"))
-        major = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("comp").alias("major"))).alias("m")).select("key", "m.major")
-        rows = materialise(rows.join(major, "key"), "cross")
+        major = sizes.groupBy("key").agg(F.max(F.struct("size", F.col("comp").alias("major"))).alias("m"), F.sum("size").alias("all"))
+        blocks = lambda members: F.ceil(members / BLOCK).cast("int")
+        major = materialise(major.select("key", "m.major", blocks(F.col("m.size")).alias("h"), blocks(F.col("all") - F.col("m.size")).alias("g")), "majors")
+        rows = materialise(rows.select("key", "cid", "comp").join(major, "key"), "cross")
 
         members, references = rows.select("cid").distinct(), rows.select(F.col("major").alias("cid")).distinct()
         texts = self._texts(members.unionByName(references).distinct())
@@ -306,41 +319,38 @@ class _Checker:
         top, bottom = self.threshold
         shared = F.col("n_shingles") - F.coalesce(F.size("alone"), F.lit(0))
         able = sets.join(members, "cid", "left_semi").join(alone, ["cid", "print"], "left").where(shared * bottom >= F.col("n_shingles") * top)
-        able = able.select("cid", "n_shingles", "shingles", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
+        able = able.join(self.classes.select("print", "signature"), "print").select("cid", "n_shingles", "shingles", "signature", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
         reference = sets.groupBy("cid").agg(F.min(F.struct("print", "shingles")).alias("s")).select(F.col("cid").alias("major"), F.col("s.shingles").alias("reference"))
+        reference = reference.withColumn("n_reference", F.expr("octet_length(reference) div 8").cast("long"))
         pairs = rows.select("cid", "major").distinct().join(able, "cid").join(reference, "major")
-        written = pairs.select("cid", "major", "n_shingles", "shingles", "reference", "alone").mapInArrow(_differences, "cid bigint, major bigint, n_shingles bigint, missing binary, extra binary")
-        lengths = reference.select("major", F.expr("octet_length(reference) div 8").cast("long").alias("n_reference"))
-        written = materialise(written.join(lengths, "major"), "differences")
-
-        rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(written, ["cid", "major"])
-        values = ["cid", "comp", "n_shingles", "n_reference", "missing", "extra"]
-        home = rows.select("key", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), *values, F.lit(False).alias("guest"))
-        guest = rows.where("comp != major").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *values, F.lit(True).alias("guest"))
-        found = home.unionByName(guest).groupBy("key", "block").applyInPandas(_across(self.threshold), "a bigint, b bigint").distinct()
-        return materialise(found, "found")
-
-
-def _star_pairs(buckets: DataFrame, components: DataFrame | None, turn: int) -> DataFrame:
-    """(a, b), a < b: each member of a bucket with the bucket's pivot, unless already joined."""
-    if components is None:
-        pivots = buckets.groupBy("key").agg(F.min("cid").alias("pivot"))
-        pairs = buckets.join(pivots, "key").where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-        return pairs.distinct()
-    # Buckets of one block are left to the last pass, which compares every pair in them.
-    rows = _mixed(buckets, components).where(F.col("n") > BLOCK)
-    # The pivot is drawn by hash, so another pass tries another member.
-    pivots = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
-    pairs = rows.join(pivots.select("key", "p.pivot", "p.pivot_comp"), "key").where("comp != pivot_comp")
-    return pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
+        written = pairs.select("cid", "major", "n_shingles", "n_reference", "shingles", "reference", "alone", "signature")
+        written = materialise(written.mapInArrow(_differences, "cid bigint, major bigint, n_shingles bigint, n_reference bigint, missing binary, extra binary, bands binary"), "differences")
+
+        # Blocks 0 to h - 1 hold the largest component, h to h + g - 1 all others; each pair i <= j
+        # with j among the others meets: a row of block i on side 0, one of block j on side 1.
+        draw = F.xxhash64("cid")
+        block = F.when(F.col("comp") == F.col("major"), F.pmod(draw, F.col("h"))).otherwise(F.col("h") + F.pmod(draw, F.col("g"))).cast("int")
+        rows = rows.withColumn("block", block).join(written, ["cid", "major"])
+        values = ["cid", "comp", "n_shingles", "n_reference", "missing", "extra", "bands"]
+        last = F.col("h") + F.col("g") - 1
+        first = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.greatest("block", "h"), last)).alias("j"), *values, F.lit(0).alias("side"))
+        second = rows.where("block >= h").select("key", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *values, F.lit(1).alias("side"))
+        return first.unionByName(second).groupBy("key", "i", "j").applyInPandas(_across(self.threshold), "a bigint, b bigint").distinct()
+
+
+def _edges(components: DataFrame) -> DataFrame:
+    return components.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _mixed(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(key, cid, comp, n) of buckets of three members or more in several components.
+    """(key, cid, comp, n, pivot, pivot_comp) of buckets of three members or more in several components.
 
-    In a bucket of two the first pass has compared the only pair.
+    In a bucket of two the first pass has compared the only pair. The pivot is drawn by hash, so
+    it is another member than that pass had.
     """
-    rows = buckets.join(components, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
+    rows = buckets.select("key", "cid").join(components, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("component", "cid").alias("comp"))
     rows = materialise(rows, "joined")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("n > 2 AND lo != hi")
-    return materialise(rows.join(mixed.select("key", "n"), "key"), "mixed")
+    drawn = F.min(F.struct(F.xxhash64("cid", F.lit(1)).alias("h"), F.col("cid").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p")
+    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), drawn).where("n > 2 AND lo != hi")
+    mixed = materialise(mixed.select("key", "n", "p.pivot", "p.pivot_comp"), "mixed")
+    return materialise(rows.join(mixed, "key"), "mixed-rows")

@@ -347,6 +347,51 @@ def test_minhash(spark, words, threshold):
     assert got == {i: (len(s), label[i], label[i] == i) for i, s in enumerate(sets)}
 
 
+def test_minhash_blocks_of_a_template(spark, monkeypatch):
+    """Many documents in the same buckets that link with few others: every pair across components, in bounded groups."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    draw = np.random.default_rng(9)
+    template = [f"t{i}" for i in range(300)]
+    texts = []
+    for g in range(70):  # at similarity 0.74 to 0.8 with each other
+        copy = list(template)
+        for at in draw.choice(300, 13, replace=False):
+            copy[at] = f"g{g}w{at}"
+        texts += [" ".join(copy), " ".join([*copy[:150], f"x{g}", *copy[151:]])]
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    label = classes(len(sets), links)
+    assert 40 < len(set(label)) < 140
+    across = minhash._across
+
+    def counted(threshold):
+        run = across(threshold)
+
+        def wrapped(rows):
+            assert len(rows) < 60, "a group grows with its bucket"
+            return run(rows)
+
+        return wrapped
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(odd_docs(spark, texts), 3, (85, 100)).collect()}
+    assert got == dict(enumerate(label))
+
+
+def test_minhash_odd_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (None, text), (5, text), (5, "quite another text of words"), (5, None), (2, text + " more"), (9, "quite another text of words"), (2, text + " more")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["kept"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, (85, 100)).collect())
+    assert got == sorted([("None", 78, "None", True)] * 2 + [("5", 78, "2", False), ("5", 3, "2", False), ("5", 0, "2", False), ("9", 3, "2", False)] + [("2", 79, "2", True)] * 2)
+
+
+def test_bits_of_both(monkeypatch):
+    draw = np.random.default_rng(3)
+    x, y = draw.integers(0, 256, (5, 70), np.uint8), draw.integers(0, 256, (7, 70), np.uint8)
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    assert (minhash._both_missing(x, y) == np.array([[np.bitwise_count(a & b).sum() for b in y] for a in x])).all()
+
+
 def test_minhash_empty(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
