@@ -10,14 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..columns import unused
+from ..functions.random import draw
 from .ordering import with_position
 
 CAPACITY = 512
 
 
-def assign_ids(df: DataFrame, stable: list[str], seed: int = 11, name: str = "rid") -> DataFrame:
+def assign_ids(df: DataFrame, stable: list[str], seed: int = 11, name: str = "rid", method: str = "xxhash64") -> DataFrame:
     """``df`` with a random-looking id made of the columns ``stable``."""
-    return df.withColumn(name, F.xxhash64(*stable, F.lit(seed)))
+    return df.withColumn(name, draw(stable, seed, method))
 
 
 def route_buckets(df: DataFrame, value, buckets: int, name: str = "bucket") -> DataFrame:
@@ -40,15 +42,15 @@ def pad_buckets(df: DataFrame, buckets: int, capacity: int = CAPACITY, bucket: s
 
     A bucket with more rows raises an error when the plan runs; nothing is dropped.
     """
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    count, free, i = unused(df, "_n", "_free", "_i")
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias(count))
     all_buckets = df.sparkSession.range(buckets).select(F.col("id").cast(df.schema[bucket].dataType).alias(bucket))
-    missing = all_buckets.join(counts, bucket, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    missing = all_buckets.join(counts, bucket, "left").withColumn(count, F.coalesce(count, F.lit(0)))
+    left = F.lit(capacity) - F.col(count)
     if check:
-        full = F.when(F.col("_n") > capacity, F.raise_error(F.concat(F.lit("overfull bucket "), F.col(bucket).cast("string"))).cast("bigint")).otherwise(F.lit(capacity) - F.col("_n"))
-        missing = missing.withColumn("_free", full)
-    else:
-        missing = missing.withColumn("_free", F.lit(capacity) - F.col("_n"))
-    dummies = missing.where("_free > 0").select(bucket, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_free"))).alias("_i")).drop("_i")
+        left = F.when(F.col(count) > capacity, F.raise_error(F.concat(F.lit("overfull bucket "), F.col(bucket).cast("string"))).cast("bigint")).otherwise(left)
+    missing = missing.withColumn(free, left)
+    dummies = missing.where(F.col(free) > 0).select(bucket, F.explode(F.sequence(F.lit(1).cast("long"), F.col(free))).alias(i)).drop(i)
     return df.withColumn("is_dummy", F.lit(False)).unionByName(dummies.withColumn("is_dummy", F.lit(True)), allowMissingColumns=True)
 
 
@@ -63,13 +65,14 @@ def permute_buckets(df: DataFrame, parts: int, bucket: str = "bucket", rid: str
     return real.repartition(parts, bucket).sortWithinPartitions(bucket, rid)
 
 
-def random_permutation(df: DataFrame, stable: list[str], seed: int = 13, name: str = "pos") -> DataFrame:
+def random_permutation(df: DataFrame, stable: list[str], seed: int = 13, name: str = "pos", method: str = "xxhash64") -> DataFrame:
     """``df`` with its place in a random order, a bijection on 0..n-1, the same for every plan."""
-    tagged = df.withColumn("_rid", F.xxhash64(*stable, F.lit(seed)))
-    return with_position(tagged, ["_rid", *stable], name).drop("_rid")
+    (rid,) = unused([*df.columns, name], "_rid")
+    return with_position(df.withColumn(rid, draw(stable, seed, method)), [rid, *stable], name).drop(rid)
 
 
-def mark_exact(df: DataFrame, stable: list[str], count: int | None = None, seed: int = 19, name: str = "marked") -> DataFrame:
+def mark_exact(df: DataFrame, stable: list[str], count: int | None = None, seed: int = 19, name: str = "marked", method: str = "xxhash64") -> DataFrame:
     """``df`` with exactly ``count`` rows marked at random (half of them by default)."""
     wanted = df.count() // 2 if count is None else count
-    return random_permutation(df, stable, seed, "_draw").withColumn(name, F.col("_draw") < wanted).drop("_draw")
+    (place,) = unused([*df.columns, name], "_draw")
+    return random_permutation(df, stable, seed, place, method).withColumn(name, F.col(place) < wanted).drop(place)

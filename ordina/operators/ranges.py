@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..columns import unused
+
 #: Rows sampled for each bucket.
 SAMPLE_PER_BUCKET = 32
 
@@ -21,8 +23,9 @@ def sample_splitters(df: DataFrame, keys: list[str], buckets: int) -> list[tuple
     """
     if buckets < 2:
         return []
-    hashed = df.select(*keys, F.xxhash64(*df.columns, F.lit(17)).alias("_draw"))
-    drawn = hashed.orderBy("_draw", *keys).limit(buckets * SAMPLE_PER_BUCKET).select(*keys)
+    (draw,) = unused(df, "_draw")
+    hashed = df.select(*keys, F.xxhash64(*df.columns, F.lit(17)).alias(draw))
+    drawn = hashed.orderBy(draw, *keys).limit(buckets * SAMPLE_PER_BUCKET).select(*keys)
     rows = [tuple(r) for r in drawn.orderBy(*keys).collect()]
     if not rows:
         return []
@@ -48,5 +51,6 @@ def range_bucket(df: DataFrame, keys: list[str], splitters: list[tuple]) -> Colu
 
 
 def with_tie(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
-    """``df`` with a hash of the row, and ``keys`` followed by it: rows that tie spread over ranges."""
-    return df.withColumn("_tie", F.xxhash64(*df.columns)), [*keys, "_tie"]
+    """``df`` with a hash of the row, and ``keys`` followed by its name: rows that tie spread over ranges."""
+    (tie,) = unused(df, "_tie")
+    return df.withColumn(tie, F.xxhash64(*df.columns)), [*keys, tie]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..columns import unused
 from ..functions.integers import block_of
 
 
@@ -35,19 +36,25 @@ def assert_sorted(df: DataFrame, keys: list[str], pos: str = "pos") -> None:
 
 
 def assert_physically_sorted(df: DataFrame, keys: list[str]) -> None:
-    """The partitions, in order, hold rows in order: compares the key ranges of partitions."""
+    """The rows as they lie, partition after partition, are in order.
+
+    Neighbours are compared inside each partition, and the ranges of keys across partitions.
+    """
     key = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
-    spans = df.select(F.spark_partition_id().alias("p"), key.alias("k")).groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+    rows = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"), key.alias("k"))
+    inside = F.lag("k").over(Window.partitionBy("p").orderBy("at"))
+    spans = rows.withColumn("falls", F.coalesce(F.col("k") < inside, F.lit(False))).groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.bool_or("falls").alias("falls"))
     before = F.max("hi").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
-    if spans.withColumn("before", before).where("lo < before").count():
-        raise LawBroken(f"partitions overlap by {keys}")
+    if spans.withColumn("before", before).where("falls OR lo < before").count():
+        raise LawBroken(f"the rows do not lie in order of {keys}")
 
 
 def assert_permutation(result: DataFrame, source: DataFrame) -> None:
     """Both hold the same rows equally often."""
     columns = source.columns
-    count = lambda df, sign: df.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_n", F.col("_n") * sign)
-    both = count(result, 1).unionByName(count(source, -1)).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n != 0")
+    (n,) = unused(columns, "_n")
+    count = lambda df, sign: df.select(*columns).groupBy(*columns).agg((F.count(F.lit(1)) * sign).alias(n))
+    both = count(result, 1).unionByName(count(source, -1)).groupBy(*columns).agg(F.sum(n).alias(n)).where(F.col(n) != 0)
     if both.limit(1).count():
         raise LawBroken("the result is no permutation of its source")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.integers import ceil_div, compare, log2_floor, next_pow2, unsigned
 from .operators import lookup, ordering, partition, permute, scan, verify
-from .plans.metrics import rows_by_partition
+from .plans.metrics import rows_by_partition, shuffle_stats
 from .sources.tables import generate_keys, generate_lookup_fixture, load
 from .streaming.duplicates import first_seen_stream
 
@@ -89,12 +89,21 @@ _BY_PRICE = "SELECT o_totalprice, o_orderkey, row_number() OVER (ORDER BY o_tota
 def _sorted(spark, sf_dir, strategy):
     """The place of each row in the sorted frame itself: its partition's start and its place there."""
     df = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
-    ordered = ordering.sort_global(df, ["o_totalprice", "o_orderkey"], strategy)
+    return _as_it_lies(ordering.sort_global(df, ["o_totalprice", "o_orderkey"], strategy))
+
+
+def _as_it_lies(ordered):
     # monotonically_increasing_id is (partition, row in it), read off the rows as they come.
     tagged = ordered.withColumn("_id", F.monotonically_increasing_id())
     return ordering.with_position(tagged, ["_id"]).drop("_id")
 
 
+def _place_in(df, part, name):
+    """``df`` with the place of each row among those of ``part`` as they lie."""
+    tagged = df.withColumn("_id", F.monotonically_increasing_id())
+    return tagged.withColumn(name, (F.row_number().over(Window.partitionBy(part).orderBy("_id")) - 1).cast("long")).drop("_id")
+
+
 @query(_BY_PRICE)
 def sort_native(spark, sf_dir):
     return _sorted(spark, sf_dir, "native")
@@ -116,6 +125,17 @@ def sort_columnsort(spark, sf_dir):
     return ordering.columnsort_position(df, ["o_totalprice", "o_orderkey"])
 
 
+@query("SELECT o_totalprice, o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey DESC NULLS LAST) - 1 AS pos FROM orders")
+def sort_descending(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    return _as_it_lies(ordering.sort_global(df, ["o_totalprice", "o_orderkey"], "bucket", descending=True))
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, event_id DESC) - 1 AS pos FROM events")
+def position_descending(spark, sf_dir):
+    return ordering.with_position(load(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"], descending=True).select("event_id", "pos")
+
+
 @query("SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag NULLS FIRST) - 1 AS pos FROM lineitem")
 def sort_duplicate_keys(spark, sf_dir):
     return ordering.with_position(load(spark, sf_dir, "lineitem"), ["l_returnflag"]).select("l_returnflag", "pos")
@@ -126,16 +146,23 @@ def global_position(spark, sf_dir):
     return ordering.with_position(load(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]).select("event_id", "pos")
 
 
-@query("SELECT o_orderkey % 8 AS run, o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1 AS run_pos FROM orders")
+@query("SELECT o_orderkey % 8 AS run, o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_totalprice, o_orderkey) - 1 AS run_pos FROM orders")
 def local_sort_runs(spark, sf_dir):
-    return ordering.run_positions(load(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey") % 8, ["o_orderkey"])
+    df = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return _place_in(ordering.local_sort(df, F.col("o_orderkey") % 8, ["o_totalprice", "o_orderkey"]), "run", "run_pos").select("run", "o_orderkey", "run_pos")
+
+
+@query("SELECT o_orderkey % 8 AS run, o_orderkey, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_totalprice, o_orderkey) - 1 AS run_pos FROM orders")
+def run_positions(spark, sf_dir):
+    df = load(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ordering.run_positions(df, F.col("o_orderkey") % 8, ["o_totalprice", "o_orderkey"]).select("run", "o_orderkey", "run_pos")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos FROM orders")
 def merge_runs(spark, sf_dir):
-    df = load(spark, sf_dir, "orders").select("o_orderkey")
-    runs = [ordering.local_sort(df.where(f"o_orderkey % 4 = {i}"), F.lit(i), ["o_orderkey"], 1).drop("run") for i in range(4)]
-    return ordering.merge_runs(runs, ["o_orderkey"])
+    df, keys = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"]
+    runs = [ordering.local_sort(df.where(f"o_orderkey % 4 = {i}"), F.lit(i), keys, 1).drop("run") for i in range(4)]
+    return ordering.merge_runs(runs, keys).select("o_orderkey", "pos")
 
 
 @query(
@@ -183,6 +210,29 @@ def balance_ceil(spark, sf_dir):
     return _balanced(spark, sf_dir, "ceil")
 
 
+_LAID_OUT = (
+    f"WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders), "
+    f"r AS (SELECT *, ((pos + 1) * {RANKS} - 1) // n AS rank FROM p) SELECT o_orderkey, CAST(rank AS INTEGER) AS rank, pos - rank * n // {RANKS} AS place FROM r"
+)
+
+
+def _laid_out(spark, sf_dir, sort):
+    """Where each row lies: the partition itself and the place in it."""
+    df = load(spark, sf_dir, "orders").select("o_totalprice", "o_orderkey")
+    laid = sort(df, ["o_totalprice", "o_orderkey"], RANKS).withColumn("rank", F.spark_partition_id())
+    return _place_in(laid, "rank", "place").select("o_orderkey", "rank", "place")
+
+
+@query(_LAID_OUT)
+def samplesort(spark, sf_dir):
+    return _laid_out(spark, sf_dir, partition.samplesort)
+
+
+@query(_LAID_OUT)
+def quickselect_sort(spark, sf_dir):
+    return _laid_out(spark, sf_dir, partition.quickselect_sort)
+
+
 @query("SELECT o_orderkey & 63 AS bucket, count(*) AS n FROM orders GROUP BY 1")
 def bucket_route(spark, sf_dir):
     routed = permute.route_buckets(load(spark, sf_dir, "orders").select("o_orderkey"), F.col("o_orderkey"), 64)
@@ -215,11 +265,16 @@ def drop_padding(spark, sf_dir):
     return permute.drop_padding(padded).select("o_orderkey")
 
 
-@query("SELECT o_orderkey FROM orders")
+def _rid(seed):
+    """SQL of the random-looking id of an order."""
+    return f"CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|{seed}'), 1, 15) AS BIGINT)"
+
+
+@query(f"SELECT o_orderkey, CAST(o_orderkey & (b - 1) AS INTEGER) AS bucket, row_number() OVER (PARTITION BY o_orderkey & (b - 1) ORDER BY {_rid(11)}) - 1 AS place FROM orders, (SELECT {_BUCKETS} AS b FROM (SELECT count(*) AS n FROM orders))")
 def bucket_permute(spark, sf_dir):
-    padded, buckets = _padded(spark, sf_dir)
-    tagged = permute.assign_ids(padded, ["o_orderkey"])
-    return permute.permute_buckets(tagged, RANKS).select("o_orderkey")
+    padded, _ = _padded(spark, sf_dir)
+    tagged = permute.assign_ids(padded, ["o_orderkey"], method="md5")
+    return _place_in(permute.permute_buckets(tagged, RANKS), "bucket", "place").select("o_orderkey", "bucket", "place")
 
 
 @query(f"SELECT bucket % {RANKS} AS rank, count(*) AS n_buckets FROM (SELECT DISTINCT o_orderkey & 63 AS bucket FROM orders) GROUP BY 1")
@@ -228,37 +283,36 @@ def hash_distribute(spark, sf_dir):
     return partition.hash_distribute(buckets, F.col("bucket"), RANKS).groupBy("rank").agg(F.count(F.lit(1)).alias("n_buckets"))
 
 
-_BLOCKS = f"WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () // {RANKS} AS n FROM orders), q AS (SELECT * FROM p WHERE pos < n * {RANKS})"
+# Blocks of any number of rows: rank r begins at ceil(r n / ranks); j is the place in it, m its rows.
+_BLOCKS = (
+    f"WITH p AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders), r AS (SELECT *, pos * {RANKS} // n AS rank FROM p), "
+    f"q AS (SELECT pos, rank, pos - (rank * n + {RANKS - 1}) // {RANKS} AS j, ((rank + 1) * n + {RANKS - 1}) // {RANKS} - (rank * n + {RANKS - 1}) // {RANKS} AS m FROM r)"
+)
 
 
-def _blocks(spark, sf_dir):
+def _positions(spark, sf_dir):
     df = load(spark, sf_dir, "orders").select("o_orderkey")
-    block = df.count() // RANKS
-    return ordering.with_position(df, ["o_orderkey"]).where(F.col("pos") < block * RANKS).select("pos"), block
+    return ordering.with_position(df, ["o_orderkey"]).select("pos"), RANKS, df.count()
 
 
-@query(f"{_BLOCKS} SELECT pos, (pos % n) % {RANKS} AS dest FROM q")
+@query(f"{_BLOCKS} SELECT pos, j % {RANKS} AS dest FROM q")
 def transpose(spark, sf_dir):
-    df, block = _blocks(spark, sf_dir)
-    return partition.transpose(df, RANKS, block)
+    return partition.transpose(*_positions(spark, sf_dir))
 
 
-@query(f"{_BLOCKS} SELECT pos, ((pos % n) * {RANKS}) // n AS dest FROM q")
+@query(f"{_BLOCKS} SELECT pos, j * {RANKS} // m AS dest FROM q")
 def transpose_inverse(spark, sf_dir):
-    df, block = _blocks(spark, sf_dir)
-    return partition.transpose(df, RANKS, block, inverse=True)
+    return partition.transpose(*_positions(spark, sf_dir), inverse=True)
 
 
-@query(f"{_BLOCKS} SELECT pos, ((pos + n // 2) % (n * {RANKS})) // n AS dest FROM q")
+@query(f"{_BLOCKS} SELECT pos, CASE WHEN j < m - m // 2 THEN rank ELSE (rank + 1) % {RANKS} END AS dest FROM q")
 def half_shift(spark, sf_dir):
-    df, block = _blocks(spark, sf_dir)
-    return partition.half_shift(df, RANKS, block)
+    return partition.half_shift(*_positions(spark, sf_dir))
 
 
-@query(f"{_BLOCKS} SELECT pos, ((pos - n // 2 + n * {RANKS}) % (n * {RANKS})) // n AS dest FROM q")
+@query(f"{_BLOCKS} SELECT pos, CASE WHEN j < m // 2 THEN (rank + {RANKS - 1}) % {RANKS} ELSE rank END AS dest FROM q")
 def half_unshift(spark, sf_dir):
-    df, block = _blocks(spark, sf_dir)
-    return partition.half_shift(df, RANKS, block, inverse=True)
+    return partition.half_shift(*_positions(spark, sf_dir), inverse=True)
 
 
 @query(
@@ -334,42 +388,43 @@ def verify_unsorted(spark, sf_dir):
     return verify.order_violations(ordering.with_position(df, ["o_orderkey"]), ["o_totalprice"], block=1000)
 
 
-@query("SELECT count(*) // 2 AS marked, count(*) AS n FROM orders")
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_rid(19)}, o_orderkey) <= count(*) OVER () // 2 AS marked FROM orders")
 def mark_exact(spark, sf_dir):
-    marked = permute.mark_exact(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
-    return marked.agg(F.sum(F.col("marked").cast("long")).alias("marked"), F.count(F.lit(1)).alias("n"))
+    return permute.mark_exact(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], method="md5")
 
 
-@query("SELECT count(*) AS n, count(*) AS positions, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most FROM orders")
+@query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {_rid(13)}, o_orderkey) - 1 AS pos FROM orders")
 def random_permutation(spark, sf_dir):
-    shuffled = permute.random_permutation(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
-    return shuffled.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pos").alias("positions"), F.min("pos").alias("least"), F.max("pos").alias("most"))
+    return permute.random_permutation(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], method="md5")
 
 
-@query("SELECT count(*) AS n, count(*) AS ids FROM orders")
+@query(f"SELECT o_orderkey, {_rid(11)} AS rid FROM orders")
 def assign_ids(spark, sf_dir):
-    tagged = permute.assign_ids(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])
-    return tagged.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("ids"))
+    return permute.assign_ids(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], method="md5")
 
 
-@query("SELECT CAST(4 AS BIGINT) AS least, CAST(4 AS BIGINT) AS most, CAST(1000 AS BIGINT) AS keys, CAST(4000 AS BIGINT) AS matched")
+@query("SELECT range AS request_id, range // 4 * 2 AS key, range // 4 * 10 AS value, true AS has_value FROM range(4000)")
 def lookup_fixture(spark, sf_dir):
     requests, data = generate_lookup_fixture(spark, 1000)
-    joined = lookup.lookup_join(requests, data, "key", ["value"])
-    per_key = joined.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("has_value").cast("long")).alias("m"))
-    return per_key.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("keys"), F.sum("m").alias("matched"))
+    return lookup.lookup_join(requests, data, "key", ["value"])
 
 
-@query("SELECT CAST(10000 AS BIGINT) AS n, true AS in_range")
+@query("SELECT range AS id, CAST('0x' || substr(md5(CAST(range AS VARCHAR) || '|1'), 1, 15) AS BIGINT) % 2147483648 AS key FROM range(10000)")
 def generate_sort_keys(spark, sf_dir):
-    keys = generate_keys(spark, 10000, key_range=1 << 31)
-    return keys.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("key").between(0, (1 << 31) - 1)).alias("in_range"))
+    return generate_keys(spark, 10000, key_range=1 << 31, method="md5")
 
 
-@query("SELECT count(*) AS n FROM orders")
+@query(f"SELECT CAST(r AS INTEGER) AS partition, (r + 1) * n // {RANKS} - r * n // {RANKS} AS n FROM range({RANKS}) t(r), (SELECT count(*) AS n FROM orders)")
 def partition_metrics(spark, sf_dir):
-    """Rows counted partition by partition."""
-    return rows_by_partition(partition.range_exchange(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"])).agg(F.sum("n").alias("n"))
+    """Rows counted partition by partition, of a layout with a known size for each."""
+    return rows_by_partition(partition.samplesort(load(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], RANKS))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS exchanges, count(*) AS records, true AS has_bytes FROM lineitem")
+def shuffle_metrics(spark, sf_dir):
+    """What a range exchange has really written, read off the plan that has run."""
+    found = shuffle_stats(partition.range_exchange(load(spark, sf_dir, "lineitem").select(*LINE_KEYS), LINE_KEYS))
+    return spark.createDataFrame([(found["exchanges"], found["records"], found["bytes"] > 0)], "exchanges long, records long, has_bytes boolean")
 
 
 @query(

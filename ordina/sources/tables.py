@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.random import draw
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a folder; columns and filters are pushed to the scan."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def generate_keys(spark: SparkSession, rows: int, seed: int = 1, key_range: int = 1 << 31, payload_bytes: int = 0) -> DataFrame:
+def generate_keys(spark: SparkSession, rows: int, seed: int = 1, key_range: int = 1 << 31, payload_bytes: int = 0, method: str = "xxhash64") -> DataFrame:
     """(id, key[, payload]): reproducible keys in [0, key_range), whatever the partitioning."""
-    df = spark.range(rows).select("id", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(key_range)).alias("key"))
+    df = spark.range(rows).select("id", F.pmod(draw(["id"], seed, method), F.lit(key_range)).alias("key"))
     if payload_bytes:
         df = df.withColumn("payload", F.repeat(F.lit("\0"), payload_bytes).cast("binary"))
     return df
@@ -27,8 +29,3 @@ def generate_lookup_fixture(spark: SparkSession, data_rows: int, requests_per_ke
     data = spark.range(data_rows).select((F.col("id") * 2).alias("key"), (F.col("id") * 10).alias("value"))
     requests = spark.range(data_rows * requests_per_key).select(F.col("id").alias("request_id"), (F.expr(f"id div {requests_per_key}") * 2).alias("key"))
     return requests, data
-
-
-def write_noop(df: DataFrame) -> None:
-    """Run a plan to its end without keeping the rows."""
-    df.write.format("noop").mode("overwrite").save()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ordina.functions import integers
 from ordina.operators import lookup, ordering, partition, permute, scan, verify
-from ordina.plans.metrics import exchanges
+from ordina.plans.metrics import exchanges, shuffle_stats
 from ordina.sources.tables import generate_keys, generate_lookup_fixture
 from ordina.streaming.duplicates import first_seen_stream
 
@@ -70,8 +70,9 @@ def test_verifiers_raise(spark):
         verify.assert_permutation(bad, ok)
     with pytest.raises(verify.LawBroken):
         verify.assert_partition_law(ok.withColumn("rank", F.lit(0)), 4)
-    with pytest.raises(verify.LawBroken):
-        verify.assert_physically_sorted(frame(spark, [3, 2, 1, 0] * 50).repartition(4, "id"), ["id"])
+    for odd in (frame(spark, [3, 2, 1, 0] * 50).repartition(4, "id"), frame(spark, [1, 3, 2]).coalesce(1)):
+        with pytest.raises(verify.LawBroken):
+            verify.assert_physically_sorted(odd, ["key"])
 
 
 @pytest.mark.parametrize("plan", ["join", "scan"])
@@ -129,14 +130,101 @@ def test_scans(spark):
     assert [r["idx"] for r in bounds] == [0, 1, 2, 3]
 
 
-def test_transposes_undo_each_other(spark):
-    parts, block = 4, 8
-    df = spark.range(parts * block).select(F.col("id").alias("pos"))
-    sizes = [r["n"] for r in partition.partition_sizes(partition.transpose(df, parts, block), "dest").collect()]
-    assert sizes == [8] * 4
-    moved = {r["pos"]: r["dest"] for r in partition.half_shift(df, parts, block).collect()}
-    back = {r["pos"]: r["dest"] for r in partition.half_shift(df, parts, block, inverse=True).collect()}
-    assert moved[31] == 0 and moved[4] == 1 and back[0] == 3 and back[4] == 0
+@pytest.mark.parametrize(("parts", "total"), [(4, 32), (7, 45), (5, 3), (3, 0)])
+def test_blocks_of_any_number_of_rows_move(spark, parts, total):
+    df = spark.range(total).select(F.col("id").alias("pos"))
+    starts = [-(-r * total // parts) for r in range(parts + 1)]
+    for inverse in (False, True):
+        moved = {r["pos"]: r["dest"] for r in partition.transpose(df, parts, total, inverse).collect()}
+        shifted = {r["pos"]: r["dest"] for r in partition.half_shift(df, parts, total, inverse).collect()}
+        assert len(moved) == len(shifted) == total
+        for r in range(parts):
+            n = starts[r + 1] - starts[r]
+            for j in range(n):
+                assert moved[starts[r] + j] == (j * parts // n if inverse else j % parts)
+                second = j < n // 2 if inverse else j >= n - n // 2
+                assert shifted[starts[r] + j] == (r + (second and (-1 if inverse else 1))) % parts
+
+
+@pytest.mark.parametrize("sort", [partition.samplesort, partition.quickselect_sort])
+@pytest.mark.parametrize(("n", "parts"), [(0, 3), (2, 7), (601, 4), (50, 1)])
+def test_layouts(spark, sort, n, parts):
+    draw = random.Random(n)
+    df = spark.createDataFrame([(i, draw.randrange(10)) for i in range(n)], "id long, _rank long").repartition(3)
+    laid = sort(df, ["_rank"], parts)
+    assert laid.columns == ["id", "_rank"]
+    if not n:  # Spark keeps no layout of nothing
+        assert laid.count() == 0
+        return
+    assert laid.rdd.getNumPartitions() == parts
+    found = [[r["_rank"] for r in part] for part in laid.rdd.glom().collect()]
+    assert [len(p) for p in found] == [(r + 1) * n // parts - r * n // parts for r in range(parts)]
+    assert [k for p in found for k in p] == sorted(k for p in found for k in p)
+    verify.assert_permutation(laid, df)
+
+
+def test_runs(spark):
+    df = frame(spark, [5, 1, 4, 2, 3, 3])
+    runs = [df.where(c).coalesce(1).sortWithinPartitions("key") for c in ("id < 3", "id >= 3")]
+    assert [r["key"] for r in ordering.merge_runs(runs, ["key"]).orderBy("pos").collect()] == [1, 2, 3, 3, 4, 5]
+    with pytest.raises(verify.LawBroken):
+        ordering.merge_runs([runs[0], df.where("id >= 2").coalesce(1).orderBy(F.desc("key"))], ["key"])
+
+
+@pytest.mark.parametrize("strategy", ordering.STRATEGIES)
+def test_descending(spark, strategy):
+    df = frame(spark, SIZES["nulls"])
+    assert [r["key"] for r in ordering.sort_global(df, ["key", "id"], strategy, descending=True).collect()] == expected(SIZES["nulls"])[::-1]
+    assert [r["key"] for r in ordering.with_position(df, ["key", "id"], descending=True).orderBy("pos").collect()] == expected(SIZES["nulls"])[::-1]
+
+
+def test_order_statistics(spark):
+    keys = [7] * 200 + list(range(100))
+    got = {r["target"]: r["key"] for r in ordering.order_statistics(frame(spark, keys), ["key"], [0, 150, 299, 300, -1]).collect()}
+    assert got == {i: sorted(keys)[i] for i in (0, 150, 299)}
+    assert ordering.order_statistics(frame(spark, []), ["key"], [0]).count() == 0
+
+
+HELPERS = "_tie _pos _bucket _n _start _total _nth _group _col _i _row _pad _at _one _inside _value _last _entering _rid _draw _pair _size _rank _part _free _hit _key _k _side _THE".split()
+
+
+def test_helper_columns_clash_with_none(spark):
+    """Every operator returns the user's columns as they were, whatever their names."""
+    schema = ", ".join(["id long", "key long", *(f"`{n}` string" for n in HELPERS)])
+    df = spark.createDataFrame([(i, i % 3, *[f"{n}{i}" for n in HELPERS]) for i in range(20)], schema)
+    user = df.columns
+    results = [
+        ordering.with_position(df, ["key"], "p"), ordering.columnsort_position(df, ["key", "id"], "p"),
+        *(ordering.sort_global(df, ["key", "id"], s) for s in ordering.STRATEGIES),
+        partition.range_exchange(df, ["key"], 4), partition.samplesort(df, ["key"], 3), partition.quickselect_sort(df, ["key"], 3),
+        partition.balance(df, ["key"], 3, name="p"), partition.compare_exchange(df, 4, "id", "id"),
+        scan.running_count(df, F.col("key") == 1, ["id"], "p"), scan.carry_forward(df, F.col("key"), ["id"], name="p"),
+        scan.compact(df, F.col("key") == 1, ["id"], "p"), scan.lower_bound(df, "id", df, "key", "p"),
+        permute.random_permutation(df, ["id"], name="p"), permute.mark_exact(df, ["id"], name="p"),
+        permute.drop_padding(permute.pad_buckets(permute.route_buckets(df, F.col("id"), 4, "b"), 4, 64, "b")),
+        *(lookup.lookup_join(df, df.select("id", F.col("_n").alias("v")), "id", ["v"], plan=p) for p in ("join", "scan")),
+    ]
+    for out in results:
+        verify.assert_permutation(out.select(*user), df)
+    for plan in ("join", "scan"):
+        with pytest.raises(ValueError, match="already"):
+            lookup.lookup_join(df, df, "id", ["_n"], plan=plan)
+
+
+def test_shuffle_stats(spark):
+    df = frame(spark, list(range(500)))
+    assert shuffle_stats(df) == {"exchanges": 0, "records": 0, "bytes": 0}
+    found = shuffle_stats(df.repartition(3, "key"))
+    assert (found["exchanges"], found["records"]) == (1, 500) and found["bytes"] > 0
+
+
+def test_draws(spark):
+    df = spark.range(50)
+    for method in ("xxhash64", "md5"):
+        ids = [r["rid"] for r in permute.assign_ids(df, ["id"], method=method).collect()]
+        assert len(set(ids)) == 50
+    with pytest.raises(ValueError):
+        permute.assign_ids(df, ["id"], method="other")
 
 
 def test_unsigned_extremes(spark):
