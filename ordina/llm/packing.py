@@ -6,9 +6,9 @@ configurations is solved by multiplicative weights: a length's weight falls with
 it that is covered, a knapsack dynamic program over the weights of the lengths that still lack
 cover gives the next configuration, and that is taken until one of its lengths is covered. So
 there are at most as many rounds as lengths, and the program ends with all of them covered.
-Every round also gives a lower bound of the program's value by duality. Rounding takes whole multiples of the configurations and packs what is left
-by best fit, on the histogram as well. Pieces then get their place from their
-rank among pieces of equal length.
+Every round also gives a lower bound of the program's value by duality. Rounding takes whole
+multiples of the configurations and packs what is left by best fit, on the histogram as well.
+Pieces then get their place from their rank among pieces of equal length.
 """
 
 from __future__ import annotations
@@ -43,10 +43,12 @@ class Plan:
     first_sequence: np.ndarray
     offset: np.ndarray
     sequences: int
-    #: Lower bound and value of the program, and the share of its solution that was taken.
+    #: Lower bound and value of the program, the share of its solution that was taken, and the
+    #: pieces that its configurations placed (best fit placed the others).
     bound: float
     program: float
     share: float
+    by_program: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sequence and offset of the pieces with these lengths and ranks."""
@@ -153,7 +155,7 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
 
     # Rounding: whole multiples of a share of the solution, best fit for what remains. The
     # share with the fewest sequences wins.
-    best, won = None, 0.0
+    best, won, placed = None, 0.0, 0
     for share in (1.0, 0.5, 0.0):
         tried, left = [], rest.copy()
         for taken, x in ordered if share else ():
@@ -164,7 +166,7 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
                 left = left - n * taken
         tried += best_fit(left, capacity)
         if best is None or sum(n for _, n in tried) < sum(n for _, n in best):
-            best, won = tried, share
+            best, won, placed = tried, share, int((rest - left).sum())
     chosen += best
 
     slots, base, given = [], 0, np.zeros(capacity + 1, np.int64)
@@ -177,7 +179,7 @@ def solve(histogram: dict[int, int], capacity: int) -> Plan:
             offset += k * length
         base += n
     table = np.array(sorted(slots), np.int64).reshape(-1, 5)
-    return Plan(*table.T, sequences=base, bound=full + bound, program=full + sum(x for _, x in ordered), share=won)
+    return Plan(*table.T, sequences=base, bound=full + bound, program=full + sum(x for _, x in ordered), share=won, by_program=full + placed)
 
 
 def _cut(capacity: int, end_id: int):
