@@ -18,11 +18,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, plain
 
 #: Characters of normalised text that the range splitters look at.
 SPLITTER_CHARS = 48
-#: Texts with a common beginning are dealt over so many sub-ranges by their hash.
+#: Texts with a common beginning are dealt over so many sub-ranges by their hash, or over as many
+#: as there are partitions.
 SUB_RANGES = 64
 
 
@@ -42,14 +43,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     slices = partitions(spark)
+    sub_ranges = max(SUB_RANGES, slices)
     rows = docs.select(
-        F.col(id_col).alias("_id"),
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"),
-        normalised(F.col(text_col)).alias("_norm"),
+        plain(id_col).alias("_id"),
+        F.length(F.coalesce(plain(text_col), F.lit(""))).alias("_points"),
+        normalised(plain(text_col)).alias("_norm"),
         *carry,
     ).select("*", F.xxhash64("_norm").alias("_hash"))
 
-    counts = docs.select(F.xxhash64(normalised(F.col(text_col))).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    counts = docs.select(F.xxhash64(normalised(plain(text_col))).alias("_hash")).groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
     total = docs.count()
     heavy = counts.where(F.col("_n") > F.greatest(F.lit(32), F.lit(total // (8 * slices)))).select("_hash", F.lit(True).alias("_heavy"))
 
@@ -59,8 +61,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "_norm",
         F.coalesce("_heavy", F.lit(False)).alias("_heavy"),
         F.substring("_norm", 1, SPLITTER_CHARS).alias("_prefix"),
-        F.when(F.col("_heavy"), F.lit(SUB_RANGES) + F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4 * slices)))
-        .otherwise(F.pmod("_hash", F.lit(SUB_RANGES)))
+        F.when(F.col("_heavy"), F.lit(sub_ranges) + F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(4 * slices)))
+        .otherwise(F.pmod("_hash", F.lit(sub_ranges)))
         .alias("_slice"),
         *carry,
     )
