@@ -29,7 +29,7 @@ from .components import connected_components
 #: rounds of k-means; most numbers of such a sample, and of the centroids of a length.
 SAMPLE, CELL, MAX_CELLS, FIT_ROUNDS, SAMPLE_NUMBERS, CENTROID_NUMBERS = 20_000, 1024, 4096, 8, 1 << 23, 1 << 21
 #: Standard deviations of a neighbour's place that the margin covers; see the module's text.
-SPREADS = 4.8
+SPREADS = 4.0
 #: Vectors of a block, and of a slice of it. A row is copied once for each block that it meets.
 BLOCK, SLICE = 2048, 256
 
