@@ -25,13 +25,12 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, column, materialise, owning, plain, prepare, rows_of
+from .common import begin, column, materialise, owning, partitions, plain, prepare, rows_of
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
@@ -40,6 +39,8 @@ BANDS, ROWS = 28, 5
 SLACK = 4.5
 #: Members of a block in the last pass, and bytes of difference bits that it unpacks at a time.
 BLOCK, CHUNK = 128, 8192
+#: Shingles that are hashed at once.
+STEP = 512
 
 _GENERATOR = np.random.default_rng(20240229)
 _A = _GENERATOR.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -66,15 +67,16 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
-    """Minima of all hash functions (multiply-add-shift, 32 bits)."""
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(shingles), 4096):
-        part = shingles[at : at + 4096]
-        for first in range(0, BANDS * ROWS, 35):
-            own = slice(first, first + 35)
-            values = ((part[:, None] * _A[own] + _B[own]) >> np.uint64(32)).min(axis=0).astype(np.uint32)
-            least[own] = np.minimum(least[own], values)
-    return least
+    """Minima of all hash functions (multiply-add-shift, 32 bits), ``STEP`` shingles at a time."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    values = np.empty((BANDS * ROWS, min(STEP, len(shingles))), np.uint64)
+    for at in range(0, len(shingles), STEP):
+        part = shingles[at : at + STEP]
+        own = values[:, : len(part)]
+        np.multiply(_A[:, None], part, out=own)
+        np.add(own, _B[:, None], out=own)
+        np.minimum(least, own.min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32)  # the shift keeps the order
 
 
 def band_keys(signatures: np.ndarray) -> np.ndarray:
@@ -201,27 +203,33 @@ def _across(threshold: tuple[int, int]):
     """Grouped function: links between different components in two blocks of a bucket."""
     top, bottom = threshold
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def side(rows: pa.Table) -> tuple:
+        numbers = (rows.column(n).to_numpy() for n in ("comp", "cid", "n_shingles"))
+        extra, missing, bands = (rows.column(n).to_pylist() for n in ("extra", "missing", "bands"))
+        return *numbers, [np.frombuffer(e, np.uint64) for e in extra], np.frombuffer(b"".join(missing), np.uint8).reshape(len(rows), -1), np.frombuffer(b"".join(bands), np.int64).reshape(len(rows), -1)
+
+    def run(rows: pa.Table) -> pa.Table:
         out = [np.zeros((0, 2), np.int64)]
-        same = len(rows) and rows["i"].iloc[0] == rows["j"].iloc[0]
-        first = rows[rows["side"] == 0]
-        second = first if same else rows[rows["side"] == 1]
-        if len(first) and len(second):
-            comp, ids, n, extras, packed, bands = zip(*((x["comp"].to_numpy(), x["cid"].to_numpy(), x["n_shingles"].to_numpy(), [np.frombuffer(e, np.uint64) for e in x["extra"]], np.frombuffer(b"".join(x["missing"]), np.uint8).reshape(len(x), -1), np.frombuffer(b"".join(x["bands"]), np.int64).reshape(len(x), -1)) for x in (first, second)), strict=True)
+        key, i, j, t = (rows.column(n)[0].as_py() for n in ("key", "i", "j", "n_reference"))
+        same, first = i == j, rows.column("side").to_numpy() == 0
+        if first.any() and (same or not first.all()):
+            one = side(rows.filter(pa.array(first)))
+            comp, ids, n, extras, packed, bands = zip(one, one if same else side(rows.filter(pa.array(~first))), strict=True)
             wanted = comp[0][:, None] != comp[1][None]
             if same:
                 wanted &= np.triu(np.ones(wanted.shape, bool), 1)
             common = bands[0][:, None] == bands[1][None]
-            wanted &= common.any(axis=2) & (np.take_along_axis(bands[0], common.argmax(axis=2), axis=1) == rows["key"].iloc[0])
+            wanted &= common.any(axis=2) & (np.take_along_axis(bands[0], common.argmax(axis=2), axis=1) == key)
             lost, size = zip(*((np.bitwise_count(p).sum(axis=1, dtype=np.int64), np.array([*map(len, e)])) for p, e in zip(packed, extras, strict=True)), strict=True)
-            inside = int(first["n_reference"].iloc[0]) - lost[0][:, None] - lost[1][None] + _both_missing(*packed)
+            inside = t - lost[0][:, None] - lost[1][None] + _both_missing(*packed)
             most = inside + np.minimum(size[0][:, None], size[1][None])
             total = n[0][:, None] + n[1][None]
             for i, j in np.argwhere(wanted & (bottom * most >= top * (total - most))):
                 shared = inside[i, j] + len(np.intersect1d(extras[0][i], extras[1][j], assume_unique=True))
                 if bottom * shared >= top * (total[i, j] - shared):
                     out.append(np.sort([[ids[0][i], ids[1][j]]], axis=1))
-        return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     return run
 
@@ -322,6 +330,7 @@ class _Checker:
         able = able.join(self.classes.select("print", "signature"), "print").select("cid", "n_shingles", "shingles", "signature", F.coalesce("alone", F.array().cast("array<bigint>")).alias("alone"))
         reference = sets.groupBy("cid").agg(F.min(F.struct("print", "shingles")).alias("s")).select(F.col("cid").alias("major"), F.col("s.shingles").alias("reference"))
         reference = reference.withColumn("n_reference", F.expr("octet_length(reference) div 8").cast("long"))
+        reference = materialise(reference.join(references.withColumnRenamed("cid", "major"), "major", "left_semi"), "references")
         pairs = rows.select("cid", "major").distinct().join(able, "cid").join(reference, "major")
         written = pairs.select("cid", "major", "n_shingles", "n_reference", "shingles", "reference", "alone", "signature")
         written = materialise(written.mapInArrow(_differences, "cid bigint, major bigint, n_shingles bigint, n_reference bigint, missing binary, extra binary, bands binary"), "differences")
@@ -335,7 +344,9 @@ class _Checker:
         last = F.col("h") + F.col("g") - 1
         first = rows.select("key", F.col("block").alias("i"), F.explode(F.sequence(F.greatest("block", "h"), last)).alias("j"), *values, F.lit(0).alias("side"))
         second = rows.where("block >= h").select("key", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("i"), F.col("block").alias("j"), *values, F.lit(1).alias("side"))
-        return first.unionByName(second).groupBy("key", "i", "j").applyInPandas(_across(self.threshold), "a bigint, b bigint").distinct()
+        # Dealt by number: their work is more than their bytes tell, by which partitions would be united.
+        met = first.unionByName(second).repartition(partitions(rows.sparkSession), "key", "i", "j")
+        return met.groupBy("key", "i", "j").applyInArrow(_across(self.threshold), "a bigint, b bigint").distinct()
 
 
 def _edges(components: DataFrame) -> DataFrame:
