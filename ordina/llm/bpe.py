@@ -36,8 +36,10 @@ BLOCK_BYTES = 8 << 20
 BUCKETS_PER_PARTITION = 2
 #: Most buckets. Each block has a row in each of them, so more would leave a word or two in a row.
 MAX_BUCKETS = 4096
+#: Bytes of text that are split at once: the copies that this takes stay small beside a block.
+SPLIT_BYTES = 1 << 20
 #: Distinct words that a task remembers; beyond it the memory starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 _ODD = (
     r"  |\n\n| \n|\n |[\t\r\x0b\x0c\x00\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -168,6 +170,22 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 
 def _numbered(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Words of each text, the number of the word at each position, the distinct words."""
+    known: dict[str, int] = {}
+    counts, numbers = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT_BYTES, side="right")))
+        n, own, words = _numbered_at_once(texts[at:stop], splitter)
+        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+        counts.append(n)
+        numbers.append(number[own] if len(words) else own)
+        at = stop
+    return np.concatenate(counts), np.concatenate(numbers), list(known)
+
+
+def _numbered_at_once(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of each text, the number of the word at each position, the distinct words."""
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, splitter.odd)

@@ -4,6 +4,9 @@ Intermediate tables go as Parquet to the shared folder that the cluster names in
 ``spark.checkpoint.dir``: every executor can read them again after another one is lost, and
 they cut the lineage of iterative work. Each call of an operator keeps them in a folder of its
 own (see ``owning``), so no call deletes what another one still reads.
+
+Python workers stay alive between tasks and operators and share an executor's memory, so caches
+are small, and a worker lets go of them as its task ends (see ``tidy``).
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +134,8 @@ def cache_of(owner: str, clear) -> None:
 def begin(owner: str) -> None:
     """Called as a Python task begins: a reused worker lets go of what other operators left in it."""
     if _LAST[0] != owner:
+        if not _LAST[0]:  # what this pool frees can go back to the machine
+            pa.set_memory_pool(pa.system_memory_pool())
         _LAST[0] = owner
         for name, clears in _CACHES.items():
             if name != owner:
@@ -181,11 +185,11 @@ def bitmap_of(ids: DataFrame):
     bitmap[words["word"].to_numpy(np.int64)] = words["mask"].to_numpy(np.int64)
     marks = ids.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
-    @F.pandas_udf("boolean")
-    def is_marked(slots: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def is_marked(slots: pa.Array) -> pa.Array:
         begin("bitmap_of")
-        at = slots.to_numpy()
-        return pd.Series((np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1)
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((np.frombuffer(marks.value, np.uint8)[at >> 3] >> (at & 7)) & 1 == 1)
 
     return lambda value: is_marked(slot(value))
 
@@ -231,8 +235,8 @@ def ddl(fields) -> str:
     return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in fields)
 
 
-def within(rows: DataFrame, limit: int, size: str, order: str, always=None) -> pd.DataFrame:
-    """The first of the written ``rows`` by ``order`` whose ``size`` sums to ``limit`` at most, on the driver.
+def within(rows: DataFrame, limit: int, size: str, order: str, always=None):
+    """The first of the written ``rows`` by ``order`` whose ``size`` sums to ``limit`` at most, as pandas on the driver.
 
     Rows where ``always`` holds come whatever their place. At least one row comes.
     """

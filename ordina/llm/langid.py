@@ -16,11 +16,11 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, cache_of, ddl, fresh, held_out, learnable, materialise, plain, prepare, within
+from .common import cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
 from .ftrl import SparseRows, softmax, temperature, train_multinomial
 
 #: Hash buckets, rows to train on (besides one of each language), passes, rates.
@@ -65,21 +65,20 @@ def vector(n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _frequencies(batches):
-    begin("langid")
     seen, total = np.zeros(FEATURES, np.int64), 0
     for batch in batches:
-        for text in batch["_text"]:
+        for text in column(batch, "_text").to_pylist():
             n = counts(text)
             if n is not None:
                 seen += n > 0
                 total += 1
-    yield pd.DataFrame({"slice": [-1], "counts": [np.array([total], "<i8").tobytes()]})
-    yield pd.DataFrame({"slice": range(FEATURES // SLICE), "counts": [x.astype("<i8").tobytes() for x in seen.reshape(-1, SLICE)]})
+    slices = [np.array([total]), *seen.reshape(-1, SLICE)]
+    yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(slices) - 1), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in slices], pa.binary())], ["slice", "counts"])
 
 
-def _add(rows: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<i8") for x in rows["counts"])
-    return pd.DataFrame({"slice": rows["slice"][:1], "counts": [total.tobytes()]})
+def _add(rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, "<i8") for x in rows.column("counts").to_pylist())
+    return pa.table({"slice": rows.column("slice")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 @dataclass
@@ -107,7 +106,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
     rows = rows.where("_lang IS NOT NULL").where(learnable("_id"))
-    sums = rows.select("_text").mapInPandas(_frequencies, "slice int, counts binary").groupBy("slice").applyInPandas(_add, "slice int, counts binary")
+    sums = rows.select("_text").mapInArrow(tidy(_frequencies, "langid"), "slice int, counts binary").groupBy("slice").applyInArrow(_add, "slice int, counts binary")
     parts = {r["slice"]: np.frombuffer(r["counts"], "<i8") for r in sums.collect()}  # FEATURES numbers
     total = int(parts.get(-1, np.zeros(1))[0])
     seen = np.concatenate([parts.get(i, np.zeros(SLICE)) for i in range(FEATURES // SLICE)])
@@ -132,7 +131,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # One row of each id and language, if it can be one with a letter; then the smallest hash.
     best = F.struct((~F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False))).alias("none"), F.xxhash64("_text").alias("hash"))
     sample = sample.groupBy("_id", "_lang", "_order", "_always").agg(F.min_by("_text", best).alias("_text"))
-    sample = sample.select("_order", "_lang", "_always", "_text").mapInPandas(_sparse, "_order bigint, _lang string, _always boolean, at binary, n binary, size bigint")
+    sample = sample.select("_order", "_lang", "_always", "_text").mapInArrow(tidy(_sparse, "langid"), "_order bigint, _lang string, _always boolean, at binary, n binary, size bigint")
     sample = within(materialise(sample, "training"), SAMPLE_FEATURES, "size", "_order", F.col("_always")).sort_values(["_order", "at"], kind="stable")
 
     parsed, labels = [], []
@@ -155,20 +154,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def _sparse(batches):
     for batch in batches:
         at, n = [], []
-        for text in batch["_text"]:
+        for text in column(batch, "_text").to_pylist():
             c = counts(text)
             where = np.flatnonzero(c) if c is not None else np.zeros(0, np.int64)
             at.append(where.astype("<i4").tobytes())
             n.append(c[where].astype("<i4").tobytes() if c is not None else b"")
-        yield pd.DataFrame({"_order": batch["_order"], "_lang": batch["_lang"], "_always": batch["_always"], "at": at, "n": n, "size": [len(x) // 4 for x in at]})
+        made = [pa.array(at, pa.binary()), pa.array(n, pa.binary()), pa.array([len(x) // 4 for x in at], pa.int64())]
+        yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("_order", "_lang", "_always")), *made], ["_order", "_lang", "_always", "at", "n", "size"])
 
 
 def _predictor(model, text: str, names: tuple[str, str]):
     def run(batches):
-        begin("langid")
         for batch in batches:
-            found = [model.value.predict(t) for t in batch[text]]
-            yield batch.drop(columns=text).assign(**{names[0]: [x for x, _ in found], names[1]: [s for _, s in found]})
+            found = [model.value.predict(t) for t in column(batch, text).to_pylist()]
+            kept = [n for n in batch.schema.names if n != text]
+            made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *names])
 
     return run
 
@@ -183,7 +184,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     (text,) = fresh([*keep, *names], "_text")
     rows = docs.select(*map(plain, keep), plain(text_col).alias(text))
     schema = f"{ddl(rows.schema[:-1])}, `{names[0]}` string, `{names[1]}` double"
-    return rows.mapInPandas(_predictor(shared, text, names), schema)
+    return rows.mapInArrow(tidy(_predictor(shared, text, names), "langid"), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

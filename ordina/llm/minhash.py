@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, column, materialise, owning, partitions, plain, prepare, rows_of
+from .common import column, materialise, owning, partitions, plain, prepare, rows_of, tidy
 from .components import connected_components
 
 #: At similarity 0.8 a pair misses all 28 bands of 5 minima with probability 1.5e-5.
@@ -94,7 +94,6 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 def _features(words: int):
     def run(batches):
-        begin("minhash")
         for batch in batches:
             sizes, prints, signatures = [], [], []
             for text in column(batch, "_text").to_pylist():
@@ -111,7 +110,6 @@ def _features(words: int):
 
 
 def _explode_bands(batches):
-    begin("minhash")
     for batch in batches:
         keys = band_keys(np.frombuffer(b"".join(column(batch, "signature").to_pylist()), "<u2").reshape(-1, BANDS * ROWS))
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), column(batch, "cid").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["key", "cid"])
@@ -248,7 +246,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     prepare(docs.sparkSession)
     rows = docs.select(plain(id_col).cast("long").alias("_id"), plain(text_col).alias("_text"))
     schema = "_id bigint, n_shingles bigint, print binary, signature binary"
-    features = materialise(rows.mapInArrow(_features(shingle_words), schema), "features")
+    features = materialise(rows.mapInArrow(tidy(_features(shingle_words), "minhash"), schema), "features")
 
     known = features.where("_id IS NOT NULL AND n_shingles > 0")
     # A row for each set; an id that comes with several texts can lead several of them.
@@ -257,7 +255,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, threshold: tuple[in
     members = known.select("_id", "print").join(classes.select("print", "cid"), "print")
     links = members.where("_id != cid").select(F.col("_id").alias("a"), F.col("cid").alias("b"))
 
-    buckets = materialise(classes.mapInArrow(_explode_bands, "key bigint, cid bigint"), "buckets")
+    buckets = materialise(classes.mapInArrow(tidy(_explode_bands, "minhash"), "key bigint, cid bigint"), "buckets")
     # Keys are written before they are joined, so that the join can split a large bucket.
     keys = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("n > 1"), "keys")
     buckets = materialise(buckets.join(keys, "key"), "shared")
@@ -297,7 +295,7 @@ class _Checker:
         return pairs.select("a", "b", f"{value}_a", f"{value}_b")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
-        likely = self._with(pairs, self.classes, "signature").mapInArrow(_likely(_floor(self.threshold)), "a bigint, b bigint")
+        likely = self._with(pairs, self.classes, "signature").mapInArrow(tidy(_likely(_floor(self.threshold)), "minhash"), "a bigint, b bigint")
         return self.confirm(materialise(likely.distinct(), "likely"))
 
     def _texts(self, ids: DataFrame) -> DataFrame:
@@ -305,7 +303,7 @@ class _Checker:
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         texts = self._texts(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-        confirmed = self._with(pairs, texts, "text").mapInArrow(_confirm(self.words, self.threshold), "a bigint, b bigint")
+        confirmed = self._with(pairs, texts, "text").mapInArrow(tidy(_confirm(self.words, self.threshold), "minhash"), "a bigint, b bigint")
         return confirmed.distinct()
 
     def across(self, rows: DataFrame) -> DataFrame:
@@ -318,9 +316,9 @@ class _Checker:
 
         members, references = rows.select("cid").distinct(), rows.select(F.col("major").alias("cid")).distinct()
         texts = self._texts(members.unionByName(references).distinct())
-        sets = materialise(texts.mapInArrow(_sets(self.words), "cid bigint, print binary, n_shingles bigint, shingles binary").dropDuplicates(["cid", "print"]), "sets")
+        sets = materialise(texts.mapInArrow(tidy(_sets(self.words), "minhash"), "cid bigint, print binary, n_shingles bigint, shingles binary").dropDuplicates(["cid", "print"]), "sets")
         # Shingles that one set alone has, among the sets of all members of these buckets.
-        elements = sets.select("cid", "print", "shingles").mapInArrow(_elements, "cid bigint, print binary, element bigint")
+        elements = sets.select("cid", "print", "shingles").mapInArrow(tidy(_elements, "minhash"), "cid bigint, print binary, element bigint")
         alone = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("cid", "print")).alias("of")).where("n = 1")
         alone = alone.groupBy("of").agg(F.collect_list("element").alias("alone")).select(F.col("of.cid").alias("cid"), F.col("of.print").alias("print"), "alone")
         # A set that shares too little with all others together links with none of them.
@@ -333,7 +331,7 @@ class _Checker:
         reference = materialise(reference.join(references.withColumnRenamed("cid", "major"), "major", "left_semi"), "references")
         pairs = rows.select("cid", "major").distinct().join(able, "cid").join(reference, "major")
         written = pairs.select("cid", "major", "n_shingles", "n_reference", "shingles", "reference", "alone", "signature")
-        written = materialise(written.mapInArrow(_differences, "cid bigint, major bigint, n_shingles bigint, n_reference bigint, missing binary, extra binary, bands binary"), "differences")
+        written = materialise(written.mapInArrow(tidy(_differences, "minhash"), "cid bigint, major bigint, n_shingles bigint, n_reference bigint, missing binary, extra binary, bands binary"), "differences")
 
         # Blocks 0 to h - 1 hold the largest component, h to h + g - 1 all others; each pair i <= j
         # with j among the others meets: a row of block i on side 0, one of block j on side 1.

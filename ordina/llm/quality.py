@@ -14,12 +14,12 @@ in the order of a hash of the id; scoring covers all rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import begin, cache_of, ddl, fresh, held_out, learnable, materialise, plain, prepare, within
+from .common import cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
 from .ftrl import sigmoid, train_binary
 
 #: Hash buckets, most labelled rows to train on, passes over them, penalties and rates.
@@ -30,7 +30,7 @@ RATES = {"alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.5}
 #: Characters of a word that have one shape; a longer word has the shapes of its pieces.
 PIECE = 64
 #: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 _MIX = np.random.default_rng(31).integers(0, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -99,10 +99,10 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _featurise(batches):
-    begin("quality")
     for batch in batches:
-        rows = [features(t) for t in batch["_text"]]
-        yield pd.DataFrame({"_label": batch["_label"], "_order": batch["_order"], "at": [a.astype("<i4").tobytes() for a, _ in rows], "values": [v.astype("<f4").tobytes() for _, v in rows], "size": [len(a) for a, _ in rows]})
+        rows = [features(t) for t in column(batch, "_text").to_pylist()]
+        made = [pa.array([a.astype("<i4").tobytes() for a, _ in rows], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()), pa.array([len(a) for a, _ in rows], pa.int64())]
+        yield pa.RecordBatch.from_arrays([column(batch, "_label"), column(batch, "_order"), *made], ["_label", "_order", "at", "values", "size"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(plain(id_col).alias("_id"), plain(text_col).alias("_text")).join(F.broadcast(sample), "_id")
     # One row of each id, however many have it: the one whose text has the smallest hash.
     texts = texts.groupBy("_id", "_label", "_order").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
-    rows = texts.select("_label", "_order", "_text").mapInPandas(_featurise, "_label int, _order bigint, at binary, values binary, size bigint")
+    rows = texts.select("_label", "_order", "_text").mapInArrow(tidy(_featurise, "quality"), "_label int, _order bigint, at binary, values binary, size bigint")
     rows = within(materialise(rows, "training"), SAMPLE_FEATURES, "size", "_order").sort_values(["_order", "at"], kind="stable")
     parsed = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(rows["at"], rows["values"], strict=True)]
     return train_binary(parsed, rows["_label"].to_numpy(float), FEATURES, EPOCHS, **RATES)
@@ -126,13 +126,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scorer(weights, text: str, names: tuple[str, str]):
     def run(batches):
-        begin("quality")
         for batch in batches:
             scores = []
-            for value in batch[text]:
+            for value in column(batch, text).to_pylist():
                 at, values = features(value)
                 scores.append(float(sigmoid(values @ weights.value[at])))
-            yield batch.drop(columns=text).assign(**{names[0]: scores, names[1]: np.array([s >= 0.5 for s in scores], np.int32)})
+            kept = [n for n in batch.schema.names if n != text]
+            made = [pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(column(batch, n) for n in kept), *made], [*kept, *names])
 
     return run
 
@@ -147,7 +148,7 @@ def score(docs: DataFrame, weights: np.ndarray, keep: list[str], text_col: str =
     (text,) = fresh([*keep, *names], "_text")
     rows = docs.select(*map(plain, keep), plain(text_col).alias(text))
     schema = f"{ddl(rows.schema[:-1])}, `{names[0]}` double, `{names[1]}` int"
-    return rows.mapInPandas(_scorer(shared, text, names), schema)
+    return rows.mapInArrow(tidy(_scorer(shared, text, names), "quality"), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
