@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import html as entities
 import io
+import math
 import random
 import re
 import time
@@ -17,7 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from ordina.llm import bpe, components, embeddings, exact_dedup, ftrl, html, langid, minhash, packing, quality, url_filter, warc
+from ordina.llm import bpe, common, components, embeddings, exact_dedup, ftrl, html, langid, minhash, packing, quality, url_filter, warc
 from ordina.llm.queries import URL_RULES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -424,6 +425,86 @@ def test_classifiers_on_odd_rows(spark):
     assert quality.classify(empty(spark), none).count() == 0 and langid.identify(empty(spark)).count() == 0
 
 
+def plain_ftrl(rows, labels, outputs, epochs, seed, alpha, beta, l1, l2):
+    """Follow-the-regularised-leader number by number; rows are {feature: value}, one sigmoid or a softmax."""
+    z, n = Counter(), Counter()
+    draw = np.random.default_rng(seed)
+
+    def weight(key):
+        if abs(z[key]) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n[key])) / alpha + l2)
+
+    def chances(row):
+        sums = [sum(v * weight((f, k)) for f, v in row.items()) for k in range(outputs)]
+        if outputs == 1:
+            return [1 / (1 + math.exp(-sums[0]))]
+        e = [math.exp(x - max(sums)) for x in sums]
+        return [x / sum(e) for x in e]
+
+    for _ in range(epochs):
+        for i in draw.permutation(len(rows)):
+            found = chances(rows[i])
+            for k, p in enumerate(found):
+                error = p - (labels[i] if outputs == 1 else labels[i] == k)
+                for f, v in rows[i].items():
+                    w, g = weight((f, k)), v * error
+                    step = (math.sqrt(n[f, k] + g * g) - math.sqrt(n[f, k])) / alpha
+                    z[f, k] += g - step * w
+                    n[f, k] += g * g
+    return weight, chances
+
+
+def test_quality_against_plain_training(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: (r["o"], r["quality"]) for r in labels.select("doc_id", "quality", F.xxhash64("doc_id", F.lit(3)).alias("o")).collect()}
+    learned = sorted((o, q, i) for i, (o, q) in marks.items() if zlib.crc32(str(i).encode()) % 3 != 1 and i in texts)
+    rows = [{f: float(np.float32(v)) for f, v in zip(*(x.tolist() for x in quality.features(texts[i])), strict=True)} for _, _, i in learned]
+    _, chances = plain_ftrl(rows, [q for _, q, _ in learned], 1, quality.EPOCHS, 11, **quality.RATES)
+    for r in quality.classify(docs, labels).collect():
+        want = chances(dict(zip(*(x.tolist() for x in quality.features(texts[r["doc_id"]])), strict=True)))[0]
+        assert abs(r["score"] - want) < 1e-6 and r["predicted"] == (want >= 0.5)
+
+
+def test_language_against_plain_training(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", F.lit(10)).alias("o")).collect()
+    grams = {r["doc_id"]: langid.counts(r["text"]) for r in rows}
+    learned = sorted((r["o"], r["doc_id"], r["lang"]) for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1)
+    seen = sum((grams[i] > 0).astype(int) for _, i, _ in learned if grams[i] is not None)
+    learned = [x for x in learned if grams[x[1]] is not None]
+    idf = np.log((1 + len(learned)) / (1 + seen)) + 1
+    names = sorted({lang for _, _, lang in learned})
+
+    def row(i):
+        at = np.flatnonzero(grams[i])
+        values = np.sqrt(grams[i][at]) * idf[at]
+        return dict(zip(at.tolist(), (values / np.sqrt((values**2).sum())).tolist(), strict=True))
+
+    firsts = {names.index(lang): n for n, (_, _, lang) in reversed([*enumerate(learned)])}
+    back = {n for n in range(len(learned)) if n % 5 == 4} - set(firsts.values())
+    train = [n for n in range(len(learned)) if n not in back]
+    weight, _ = plain_ftrl([row(learned[n][1]) for n in train], [names.index(learned[n][2]) for n in train], len(names), langid.EPOCHS, 13, **langid.RATES)
+    logits = lambda i: np.array([sum(v * weight((f, k)) for f, v in row(i).items()) for k in range(len(names))])
+    heat = ftrl.temperature(np.array([logits(learned[n][1]) for n in sorted(back)]), np.array([names.index(learned[n][2]) for n in sorted(back)]))
+    for r in langid.identify(docs).collect():
+        if grams[r["doc_id"]] is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        e = np.exp(logits(r["doc_id"]) / heat - max(logits(r["doc_id"]) / heat))
+        assert abs(r["score"] - e.max() / e.sum()) < 1e-6 and r["lang_pred"] == names[int(e.argmax())]
+
+
+def test_repeated_ids_are_learned_from_once(spark):
+    docs = spark.createDataFrame([(i % 40, f"{'good' if i % 2 else 'bad'} word{i % 7}", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert quality.classify(docs, labels).count() == langid.identify(docs).count() == 400
+    rows = spark.createDataFrame([(3, 5), (1, 5), (2, 5), (9, 1)], "o long, s long")
+    assert common.within(rows, 11, "s", "o")["o"].tolist() == [1, 2] and sorted(common.within(rows, 4, "s", "o", F.col("o") == 9)["o"]) == [1, 9]
+
+
 def test_more_than_a_hundred_languages(spark):
     draw = np.random.default_rng(5)
     rows = []

@@ -35,7 +35,7 @@ def plain_rows(spark, docs, labels):
     model = langid.fit(docs.where(F.col("doc_id").isin(list(texts))))
     for i, text in list(texts.items()):
         name, score = model.predict(text)
-        if name == langid.UNKNOWN or score < corpus_pipeline.LEAST_LANGUAGE:
+        if name == langid.UNKNOWN or score < corpus_pipeline.least_probability(len(model.languages)):
             del texts[i]
     left.append(len(texts))
 
@@ -116,3 +116,12 @@ def test_stages_decide_by_row(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in [*want, (None, near), (7, near + " x"), (2, words[2])]], schema)
     want = [(3, words[0]), (7, words[1]), (None, words[2]), (None, words[3]), (7, near + " x"), (8, words[5]), (11, " "), (None, near), (2, words[2])]
     assert order((r["doc_id"], r["text"]) for r in corpus_pipeline.near_stage(spark, docs, "").collect()) == order(want)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    extra = ["score", "predicted", "_text", "lang_pred", "lang_score", "row", "kept_row", "_row", "_id", "cid", "kept", "component_id", "a"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.concat(F.lit(n), "doc_id").alias(n) for n in extra))
+    for stage in (corpus_pipeline.quality_stage, corpus_pipeline.language_stage, corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        found = stage(spark, docs, FOLDER)
+        assert found.columns == docs.columns and 0 < len(kept := {tuple(r) for r in found.collect()}) and kept <= {tuple(r) for r in docs.collect()}
