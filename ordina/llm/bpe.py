@@ -171,22 +171,23 @@ def _hashes(words: list[str]) -> np.ndarray:
 
 def _numbered(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Words of each text, the number of the word at each position, the distinct words."""
-    known: dict[str, int] = {}
-    counts, numbers = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
+    counts, coded, at = [np.zeros(0, np.uint32)], [], 0
     while at < len(texts):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT_BYTES, side="right")))
-        n, own, words = _numbered_at_once(texts[at:stop], splitter)
-        number = np.fromiter((known.setdefault(w, len(known)) for w in words), np.uint32, len(words))
+        n, words = _words_of(texts[at:stop], splitter)
         counts.append(n)
-        numbers.append(number[own] if len(words) else own)
+        coded.append(words.dictionary_encode())
         at = stop
-    return np.concatenate(counts), np.concatenate(numbers), list(known)
+    if not coded:
+        return counts[0], np.zeros(0, np.uint32), []
+    chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+    numbers = [c.indices.to_numpy(zero_copy_only=False).astype(np.uint32) for c in chunks]
+    return np.concatenate(counts), np.concatenate(numbers), chunks[0].dictionary.to_pylist()
 
 
-def _numbered_at_once(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Words of each text, the number of the word at each position, the distinct words."""
+def _words_of(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words of all of them in a row."""
     texts = pc.fill_null(texts, "")
     odd = pc.match_substring_regex(texts, splitter.odd)
     has_odd = pc.any(odd).as_py()
@@ -203,8 +204,7 @@ def _numbered_at_once(texts: pa.Array, splitter: Splitter) -> tuple[np.ndarray,
         counts[where] = [*map(len, cut)]
         take = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         words = words.take(pa.array(take))
-    coded = words.dictionary_encode()
-    return counts.astype(np.uint32), coded.indices.to_numpy(zero_copy_only=False).astype(np.uint32), coded.dictionary.to_pylist()
+    return counts.astype(np.uint32), words
 
 
 def _blocks(special: tuple[str, ...], names: list[str], text_col: str, buckets: int, kinds: tuple[int, ...], block_bytes: int):
