@@ -27,6 +27,8 @@ from .common import column, materialise, owning, partitions
 #: Rate of multiplicative weights, and how much more a token of a piece of full length is worth
 #: (long pieces first: short ones fill what they leave).
 RATE, LONGER = 0.5, 0.5
+#: Groups of a length whose sizes are summed up by one window; blocks of groups are by another.
+GROUPS_OF_BLOCK = 32
 
 
 @dataclass
@@ -226,8 +228,9 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     """``pieces`` with (sequence_id, offset); needs the columns (id, piece, length).
 
     Rank among equal lengths: rows are dealt to groups by a hash of (id, piece), numbered in
-    their group, and the groups of a length follow one another. Rows that are equal
-    throughout get different places. An empty table gives an empty result.
+    their group, and the groups of a length follow one another: inside blocks of groups, and
+    block after block. Rows that are equal throughout get different places. An empty table gives
+    an empty result.
     """
     spark = pieces.sparkSession
     groups = 4 * partitions(spark)
@@ -235,8 +238,16 @@ def pack(pieces: DataFrame, capacity: int, id_col: str = "doc_id") -> DataFrame:
     sizes = materialise(dealt.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n")), "sizes")
     histogram = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     plan = solve(histogram, capacity)
-    before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_group", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = sizes.withColumn("_block", F.expr(f"_group div {GROUPS_OF_BLOCK}"))
+
+    def before(*inside: str, order: str):
+        window = Window.partitionBy(*inside).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    blocks = sizes.groupBy("length", "_block").agg(F.sum("_n").alias("_n"))
+    blocks = blocks.select("length", "_block", before("length", order="_block").alias("_earlier"))
+    starts = sizes.withColumn("_inside", before("length", "_block", order="_group")).join(blocks, ["length", "_block"])
+    starts = starts.select("length", "_group", (F.col("_earlier") + F.col("_inside")).alias("_before"))
     in_group = Window.partitionBy("length", "_group").orderBy(id_col, "piece")
     ranked = dealt.withColumn("_nth", F.row_number().over(in_group)).join(starts, ["length", "_group"])
     ranked = ranked.select(*pieces.columns, (F.col("_before") + F.col("_nth") - 1).cast("long").alias("_rank"))
