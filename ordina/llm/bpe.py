@@ -38,6 +38,8 @@ BUCKETS_PER_PARTITION = 2
 MAX_BUCKETS = 4096
 #: Bytes of text that are split at once: the copies that this takes stay small beside a block.
 SPLIT_BYTES = 1 << 20
+#: Words whose ids are joined at once, for the same reason.
+POSITIONS = 1 << 17
 #: Distinct words that a task remembers; beyond it the memory starts anew.
 REMEMBERED = 100_000
 
@@ -275,6 +277,28 @@ def _encoder(vocabulary_text):
     return run
 
 
+def _gather(numbers: np.ndarray, counts: np.ndarray, lengths: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in a row, and where those of each text begin and end, ``POSITIONS`` words at a time.
+
+    Word ``w`` has ``lengths[w]`` ids from ``ids[starts[w]]``; ``numbers`` holds the word at each
+    position and ``counts`` how many positions each text has.
+    """
+    steps = [numbers[at : at + POSITIONS] for at in range(0, len(numbers), POSITIONS)]
+    out = np.empty(sum(int(lengths[part].sum()) for part in steps), "<u4")
+    texts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])  # positions before each text
+    edges, at, done = np.zeros(len(texts), np.int64), 0, 0
+    for part in steps:
+        n = lengths[part]
+        before = np.concatenate([[0], np.cumsum(n)])
+        of = np.repeat(starts[part] - before[:-1], n)
+        of += np.arange(len(of))
+        out[done : done + len(of)] = ids[of]
+        first, last = np.searchsorted(texts, [at, at + len(part)], side="right")
+        edges[first:last] = done + before[texts[first:last] - at]
+        at, done = at + len(part), done + len(of)
+    return out, edges
+
+
 def _join(schema: pa.Schema, finish: Callable | None):
     """Grouped Arrow function: a block's payload and its rows of ids to ids by document."""
 
@@ -283,7 +307,7 @@ def _join(schema: pa.Schema, finish: Callable | None):
         out = []
         for body in payload.column("body").to_pylist():
             carry, counts, planes, bucket = _unpack(body)
-            numbers = _from_planes(planes).astype(np.int64)
+            numbers = _from_planes(planes)
             order = np.argsort(bucket, kind="stable")
             found = [_unpack(by_bucket[b]) for b in np.unique(bucket).tolist()]  # a KeyError if one is missing
             lengths = np.zeros(len(bucket), np.int64)
@@ -291,17 +315,13 @@ def _join(schema: pa.Schema, finish: Callable | None):
             ids = np.concatenate([_from_planes(x[1]) for x in found]) if found else np.zeros(0, "<u4")
             starts = np.zeros(len(bucket), np.int64)
             starts[order] = np.cumsum(lengths[order]) - lengths[order]
-            n = lengths[numbers]
-            ends = np.cumsum(n)
-            at = np.repeat(starts[numbers] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-            joined = np.ascontiguousarray(ids[at].astype("<u4"))
-            edges = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts, dtype=np.int64)]]) * 4
-            column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(joined)]).cast(pa.binary())
+            joined, edges = _gather(numbers, counts, lengths, starts, ids)
+            column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(edges * 4), pa.py_buffer(joined)]).cast(pa.binary())
             table = pa.ipc.open_stream(carry).read_all()
             out.append(pa.table([*table.columns, column], schema=pa.schema([*table.schema, ("ids_le", pa.binary())])))
         joined_table = pa.concat_tables(out).cast(schema) if out else schema.empty_table()
         result = finish(joined_table) if finish else joined_table
-        pa.default_memory_pool().release_unused()
+        trim()
         return result
 
     return run

@@ -188,8 +188,8 @@ def _cut(capacity: int, end_id: int):
     def run(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32")}
         tail = np.array([end_id], "<u4").tobytes()
-        for row, ids in enumerate(column(table, "ids_le").to_pylist()):
-            body = (ids or b"") + tail
+        for row, ids in enumerate(column(table, "ids_le")):
+            body = (ids.as_py() or b"") + tail
             total = len(body) // 4
             first = total if total <= capacity else (total % capacity or capacity)
             edges = [0, *range(first, total + 1, capacity)]

@@ -545,3 +545,16 @@ def test_quality_features_follow_whole_words():
     shapes = [set(quality.features(rest)[0].tolist()) & a for rest, a in (("a1" * 32, at[1]), ("!?" * 32, at[2]))]
     assert len(at[0]) < len(at[1]) and shapes[0] and shapes[1] and len(at[1] ^ at[2]) > 4
     assert quality.shape("A" * 100 + "!") == "A!"
+
+
+@pytest.mark.parametrize("step", [1, 3, 1 << 17])
+def test_ids_join_in_steps(monkeypatch, step):
+    monkeypatch.setattr(bpe, "POSITIONS", step)
+    ids = [[5], [], [6, 7, 8], [9, 10]]
+    lengths = np.array([*map(len, ids)])
+    starts, flat = np.cumsum(lengths) - lengths, np.array(sum(ids, []), "<u4")
+    for texts in ([], [[]], [[1], [1, 1]], [[0, 2], [], [3, 3, 1, 0], [2], []]):
+        numbers, counts = np.array(sum(texts, []), np.uint32), np.array([*map(len, texts)], np.uint32)
+        joined, edges = bpe._gather(numbers, counts, lengths, starts, flat)
+        plain = [sum((ids[w] for w in text), []) for text in texts]
+        assert [joined[a:b].tolist() for a, b in zip(edges, edges[1:])] == plain
