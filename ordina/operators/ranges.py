@@ -13,6 +13,8 @@ from ..columns import unused
 
 #: Rows sampled for each bucket.
 SAMPLE_PER_BUCKET = 32
+#: Most splitters that are written as nested conditions.
+MOST_NESTED = 64
 
 
 def sample_splitters(df: DataFrame, keys: list[str], buckets: int) -> list[tuple]:
@@ -38,7 +40,11 @@ def literal_tuple(df: DataFrame, keys: list[str], values: tuple) -> Column:
 
 
 def range_bucket(df: DataFrame, keys: list[str], splitters: list[tuple]) -> Column:
-    """Number of splitters that are at most the row's key tuple, by binary search."""
+    """Number of splitters that are at most the row's key tuple, by binary search.
+
+    A few splitters become nested conditions, which compile. More of them would outgrow a compiled
+    method, so they stay one constant array, and a fold over the halving steps searches it.
+    """
     own = F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)))
 
     def search(low: int, high: int) -> Column:
@@ -47,7 +53,16 @@ def range_bucket(df: DataFrame, keys: list[str], splitters: list[tuple]) -> Colu
         middle = (low + high) // 2
         return F.when(own < literal_tuple(df, keys, splitters[middle]), search(low, middle)).otherwise(search(middle + 1, high))
 
-    return search(0, len(splitters))
+    if len(splitters) <= MOST_NESTED:
+        return search(0, len(splitters))
+    cuts = F.array(*(literal_tuple(df, keys, s) for s in splitters))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(splitters).bit_length()))))
+
+    def further(at: Column, step: Column) -> Column:
+        fits = (at + step <= len(splitters)) & (F.get(cuts, at + step - 1) <= own)
+        return F.when(fits, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), further)
 
 
 def with_tie(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordina.functions import integers
-from ordina.operators import lookup, ordering, partition, permute, scan, verify
+from ordina.operators import lookup, ordering, partition, permute, ranges, scan, verify
 from ordina.plans.metrics import exchanges, shuffle_stats
 from ordina.sources.tables import generate_keys, generate_lookup_fixture
 from ordina.streaming.duplicates import first_seen_stream
@@ -243,3 +243,14 @@ def test_stream_of_repeats(spark, tmp_path):
     run = out.writeStream.format("memory").queryName("repeats").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert spark.table("repeats").count() == 2
+
+
+@pytest.mark.parametrize("cuts", [1, 2, 3, 7, 8, 20])
+def test_many_splitters_find_the_same_buckets(spark, monkeypatch, cuts):
+    rows = spark.createDataFrame([(k, n) for k in [None, *range(-1, 22)] for n in (None, "a", "b")], "k long, n string")
+    splitters = [(None, "a"), *((k, random.Random(k).choice([None, "a", "b"])) for k in range(cuts - 1))]
+    nested = ranges.range_bucket(rows, ["k", "n"], splitters)
+    monkeypatch.setattr(ranges, "MOST_NESTED", 0)
+    found = rows.select(nested.alias("nested"), ranges.range_bucket(rows, ["k", "n"], splitters).alias("folded")).collect()
+    assert [r["nested"] for r in found] == [r["folded"] for r in found]
+    assert {r["nested"] for r in found} == set(range(cuts + 1))
