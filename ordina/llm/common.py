@@ -15,11 +15,14 @@ import atexit
 import ctypes
 import functools
 import gc
+import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from contextvars import ContextVar
+from dataclasses import dataclass
 from pathlib import Path
 
 import numpy as np
@@ -235,10 +238,69 @@ def ddl(fields) -> str:
     return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in fields)
 
 
-def within(rows: DataFrame, limit: int, size: str, order: str, always=None):
-    """The first of the written ``rows`` by ``order`` whose ``size`` sums to ``limit`` at most, as pandas on the driver.
+#: Sum of the sizes of rows that come to the driver at once (one row may have more).
+AT_ONCE = 1 << 20
 
-    Rows where ``always`` holds come whatever their place. At least one row comes.
+
+class Filed:
+    """Rows on the driver, by ``order`` and then by their bytes.
+
+    Columns of bytes lie in a file (it goes with the object) until one of them is asked for;
+    ``filed[name]`` is the array of any other column.
+    """
+
+    def __init__(self, rows: DataFrame, order: str):
+        self._blobs = [f.name for f in rows.schema if f.dataType.typeName() == "binary"]
+        values: dict[str, list] = {n: [] for n in rows.columns if n not in self._blobs}
+        self._file, edges = tempfile.TemporaryFile(), [0]  # noqa: SIM115
+        for row in rows.toLocalIterator():
+            for name, kept in values.items():
+                kept.append(row[name])
+            for name in self._blobs:
+                edges.append(edges[-1] + self._file.write(row[name]))
+        self._file.flush()
+        self._edges = np.array(edges, np.int64)
+        orders = np.array(values[order], np.int64)
+        self._places = np.argsort(orders, kind="stable")
+        for same in np.split(self._places, np.flatnonzero(np.diff(orders[self._places])) + 1):
+            if self._blobs and len(same) > 1:
+                same[:] = sorted(same.tolist(), key=lambda at: [self._read(at, k) for k in range(len(self._blobs))])
+        text = {f.name for f in rows.schema if f.dataType.typeName() == "string"}
+        self._values = {n: np.array(v, object if n in text else None)[self._places] for n, v in values.items()}
+
+    def __len__(self) -> int:
+        return len(self._places)
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self._values[name]
+
+    def _read(self, at: int, k: int) -> bytes:
+        start, end = self._edges[at * len(self._blobs) + k :][:2]
+        return os.pread(self._file.fileno(), int(end - start), int(start))
+
+    def bytes_of(self, name: str, i: int) -> bytes:
+        return self._read(int(self._places[i]), self._blobs.index(name))
+
+
+@dataclass
+class Made:
+    """A sequence whose items are made each time that they are asked for."""
+
+    make: Callable
+    size: int
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, i: int):
+        return self.make(i)
+
+
+def within(rows: DataFrame, limit: int, size: str, order: str, always=None) -> Filed:
+    """The first of the written ``rows`` by ``order`` whose ``size`` sums to ``limit`` at most, on the driver.
+
+    Rows where ``always`` holds come whatever their place. At least one row comes. They come
+    ``AT_ONCE`` at a time, and the driver's memory never holds the bytes of all.
     """
     sizes = rows.select(F.col(order).alias("o"), F.col(size).alias("s")).toPandas().sort_values("o", kind="stable")
     ends = sizes["s"].cumsum().to_numpy()
@@ -246,7 +308,8 @@ def within(rows: DataFrame, limit: int, size: str, order: str, always=None):
         last = int(sizes["o"].iloc[max(0, int(np.searchsorted(ends, limit, side="right")) - 1)])
         keep = F.col(order) <= last
         rows = rows.where(keep if always is None else keep | always)
-    return rows.toPandas()
+    parts = -(-int(ends[-1] if len(ends) else 0) // AT_ONCE)
+    return Filed(rows.repartition(parts) if parts > 1 else rows, order)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +77,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def train_binary(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, epochs: int, seed: int = 11, **rates) -> np.ndarray:
+def train_binary(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, epochs: int, seed: int = 11, **rates) -> np.ndarray:
     """Weights of a logistic regression; every row is (distinct feature numbers, values)."""
     model, draw = Ftrl(features, 1, **rates), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -87,7 +88,7 @@ def train_binary(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray,
     return model.weights()[:, 0]
 
 
-def train_multinomial(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, classes: int, epochs: int, seed: int = 13, **rates) -> SparseRows:
+def train_multinomial(rows: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, features: int, classes: int, epochs: int, seed: int = 13, **rates) -> SparseRows:
     """Weights (features x classes) of a multinomial logistic regression."""
     model, draw = Ftrl(features, classes, **rates), np.random.default_rng(seed)
     for _ in range(epochs):

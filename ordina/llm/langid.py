@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
+from .common import Made, cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
 from .ftrl import SparseRows, softmax, temperature, train_multinomial
 
 #: Hash buckets, rows to train on (besides one of each language), passes, rates.
 FEATURES, SAMPLE, EPOCHS = 1 << 16, 6000, 3
-#: Most features (8 bytes each on the driver) of all rows to train on together.
+#: Most features (8 bytes each in a file of the driver's) of all rows to train on together.
 SAMPLE_FEATURES = 1 << 25
 RATES = {"alpha": 0.5, "beta": 1.0, "l1": 0.01, "l2": 0.5}
 #: Document frequencies travel in slices of so many numbers.
@@ -132,22 +132,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     best = F.struct((~F.coalesce(F.col("_text").rlike("\\p{L}"), F.lit(False))).alias("none"), F.xxhash64("_text").alias("hash"))
     sample = sample.groupBy("_id", "_lang", "_order", "_always").agg(F.min_by("_text", best).alias("_text"))
     sample = sample.select("_order", "_lang", "_always", "_text").mapInArrow(tidy(_sparse, "langid"), "_order bigint, _lang string, _always boolean, at binary, n binary, size bigint")
-    sample = within(materialise(sample, "training"), SAMPLE_FEATURES, "size", "_order", F.col("_always")).sort_values(["_order", "at"], kind="stable")
+    sample = within(materialise(sample, "training"), SAMPLE_FEATURES, "size", "_order", F.col("_always"))
 
-    parsed, labels = [], []
     number = {name: i for i, name in enumerate(languages)}
-    for at, n, name in zip(sample["at"], sample["n"], sample["_lang"], strict=True):
-        if at and name in number:
-            where = np.frombuffer(at, "<i4").astype(np.int64)
-            values = np.sqrt(np.frombuffer(n, "<i4")) * idf[where]
-            parsed.append((where, values / np.sqrt((values * values).sum())))
-            labels.append(number[name])
-    labels = np.array(labels, np.int64)
-    back = np.arange(len(parsed)) % 5 == 4
+    learned = [i for i, (size, name) in enumerate(zip(sample["size"], sample["_lang"], strict=True)) if size and name in number]
+    labels = np.array([number[sample["_lang"][i]] for i in learned], np.int64)
+
+    def parsed(i: int) -> tuple[np.ndarray, np.ndarray]:
+        where = np.frombuffer(sample.bytes_of("at", learned[i]), "<i4").astype(np.int64)
+        values = np.sqrt(np.frombuffer(sample.bytes_of("n", learned[i]), "<i4")) * idf[where]
+        return where, values / np.sqrt((values * values).sum())
+
+    back = np.arange(len(learned)) % 5 == 4
     back[np.unique(labels, return_index=True)[1]] = False
     train = np.flatnonzero(~back)
-    weights = train_multinomial([parsed[i] for i in train], labels[train], FEATURES, len(languages), EPOCHS, **RATES)
-    logits = np.array([weights.dot(*parsed[i]) for i in np.flatnonzero(back)]).reshape(-1, len(languages))
+    weights = train_multinomial(Made(lambda i: parsed(train[i]), len(train)), labels[train], FEATURES, len(languages), EPOCHS, **RATES)
+    logits = np.array([weights.dot(*parsed(i)) for i in np.flatnonzero(back)]).reshape(-1, len(languages))
     return Model(languages, idf, weights, temperature(logits, labels[back]))
 
 

@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
+from .common import Made, cache_of, column, ddl, fresh, held_out, learnable, materialise, plain, prepare, tidy, within
 from .ftrl import sigmoid, train_binary
 
 #: Hash buckets, most labelled rows to train on, passes over them, penalties and rates.
 FEATURES, SAMPLE, EPOCHS = 1 << 18, 6000, 5
-#: Most features (12 bytes each on the driver) of all rows to train on together.
+#: Most features (8 bytes each in a file of the driver's) of all rows to train on together.
 SAMPLE_FEATURES = 1 << 25
 RATES = {"alpha": 0.3, "beta": 1.0, "l1": 0.02, "l2": 0.5}
 #: Characters of a word that have one shape; a longer word has the shapes of its pieces.
@@ -119,9 +119,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # One row of each id, however many have it: the one whose text has the smallest hash.
     texts = texts.groupBy("_id", "_label", "_order").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     rows = texts.select("_label", "_order", "_text").mapInArrow(tidy(_featurise, "quality"), "_label int, _order bigint, at binary, values binary, size bigint")
-    rows = within(materialise(rows, "training"), SAMPLE_FEATURES, "size", "_order").sort_values(["_order", "at"], kind="stable")
-    parsed = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(v, "<f4").astype(float)) for a, v in zip(rows["at"], rows["values"], strict=True)]
-    return train_binary(parsed, rows["_label"].to_numpy(float), FEATURES, EPOCHS, **RATES)
+    rows = within(materialise(rows, "training"), SAMPLE_FEATURES, "size", "_order")
+    parsed = Made(lambda i: (np.frombuffer(rows.bytes_of("at", i), "<i4").astype(np.int64), np.frombuffer(rows.bytes_of("values", i), "<f4").astype(float)), len(rows))
+    return train_binary(parsed, rows["_label"].astype(float), FEATURES, EPOCHS, **RATES)
 
 
 def _scorer(weights, text: str, names: tuple[str, str]):

@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -505,6 +506,27 @@ def test_repeated_ids_are_learned_from_once(spark):
     assert common.within(rows, 11, "s", "o")["o"].tolist() == [1, 2] and sorted(common.within(rows, 4, "s", "o", F.col("o") == 9)["o"]) == [1, 9]
 
 
+def test_training_rows_come_in_order(spark, monkeypatch):
+    monkeypatch.setattr(common, "AT_ONCE", 3)
+    rows = [(5, b"b", "x\0", b"1", 2), (1, b"", "y", b"22", 4), (5, b"a", None, b"333", 2), (5, b"a", "z", b"", 2), (9, b"c", "w", b"4", 2)]
+    found = common.within(spark.createDataFrame(rows, "o long, at binary, name string, n binary, s long"), 10, "s", "o")
+    got = [(int(found["o"][i]), found.bytes_of("at", i), found["name"][i], found.bytes_of("n", i), int(found["s"][i])) for i in range(len(found))]
+    assert got == [rows[1], rows[3], rows[2], rows[0]]
+    assert len(common.within(spark.createDataFrame([], "o long, at binary, s long"), 10, "s", "o")) == 0
+
+
+def test_training_rows_stay_out_of_memory(spark):
+    word = "concat('w', cast(xxhash64(id, x) as string))"
+    docs = spark.range(150).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, 20000), x -> {word})) AS text", "cast(id % 2 as int) AS quality")
+    tracemalloc.start()
+    try:
+        assert quality.fit(docs, docs).any()
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 40 << 20  # 95 MB when all rows were held
+
+
 def test_more_than_a_hundred_languages(spark):
     draw = np.random.default_rng(5)
     rows = []
